@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symgraph.llm import decontaminate, secret_scan, simhash
+from symgraph.llm import decontaminate, packing, secret_scan, simhash, token_counts
+from symgraph.llm.tokens import public_tokenizer
+from symgraph.storage import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +17,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, end = _table(spark, sf_dir, "documents"), 50256
+    streams = stored(token_counts.flat_streams(docs, public_tokenizer(), end), "streams")
+    return token_counts.document_token_counts(docs, streams, end)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizer(), capacity=1024, end=2)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, radius=4)
 
@@ -25,6 +37,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_token_counts": op2_token_counts,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
