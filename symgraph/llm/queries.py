@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symgraph.llm import decontaminate, packing, secret_scan, simhash, token_counts
+from symgraph.llm import decontaminate, html_density, packing, secret_scan, simhash, token_counts
 from symgraph.llm.tokens import public_tokenizer
 from symgraph.storage import stored
 
@@ -23,6 +23,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(docs, streams, end)
 
 
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizer(), capacity=1024, end=2)
 
@@ -38,6 +42,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
+    "op3_html_main_text": op3_html_main_text,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op10_secret_scan": op10_secret_scan,
