@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symgraph.llm import decontaminate, html_density, packing, secret_scan, simhash, token_counts
+from symgraph.llm import decontaminate, html_density, packing, secret_scan, simhash, token_counts, toxicity
 from symgraph.llm.tokens import public_tokenizer
 from symgraph.storage import stored
 
@@ -35,6 +35,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), modulus=4, held_out=2)
+    return toxicity.score_table(docs, model, modulus=4, held_out=2)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +51,7 @@ QUERIES = {
     "op3_html_main_text": op3_html_main_text,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op8_toxicity": op8_toxicity,
     "op10_secret_scan": op10_secret_scan,
 }
 
