@@ -256,7 +256,7 @@ def _word_weights(n: np.ndarray, doc: np.ndarray, number: np.ndarray, y: np.ndar
     share = [(have[c] + 0.5) / (docs[c] + 1) for c in (0, 1)]
     z = (share[1] - share[0]) / np.sqrt((have[0] + have[1] + 1) / sum(docs) * (1 / docs[0] + 1 / docs[1]))
     ratio = np.log((times[1] + 0.5 * words[1] / words[0]) / words[1]) - np.log((times[0] + 0.5) / words[0])
-    return np.where((have[1] >= 3) & (z > 4) & (ratio > 0.7), ratio, 0.0).astype(np.float32)
+    return np.where((have[1] >= 2) & (z > 3) & (ratio > 0.7), ratio, 0.0).astype(np.float32)
 
 
 def _document_columns(n: np.ndarray, doc: np.ndarray, number: np.ndarray, weights: np.ndarray) -> np.ndarray:
