@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symgraph.llm import decontaminate, html_density, packing, secret_scan, simhash, token_counts, toxicity
+from symgraph.llm import decontaminate, html_density, packing, quality, secret_scan, simhash, token_counts, toxicity
 from symgraph.llm.tokens import public_tokenizer
 from symgraph.storage import stored
 
@@ -41,6 +41,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_table(docs, model, modulus=4, held_out=2)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), modulus=5, held_out=0)
+    return toxicity.score_table(docs, model, modulus=5, held_out=0)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +58,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
     "op10_secret_scan": op10_secret_scan,
 }
 
