@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symgraph.llm import decontaminate, html_density, packing, quality, secret_scan, simhash, token_counts, toxicity
+from symgraph.llm import decontaminate, embedding_dedup, html_density, packing, quality, secret_scan, simhash, token_counts, toxicity
 from symgraph.llm.tokens import public_tokenizer
 from symgraph.storage import stored
 
@@ -35,6 +35,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.9, recall=0.99)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), modulus=4, held_out=2)
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_html_main_text": op3_html_main_text,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_secret_scan": op10_secret_scan,
