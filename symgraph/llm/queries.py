@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symgraph.llm import decontaminate, embedding_dedup, html_density, packing, quality, secret_scan, simhash, token_counts, toxicity
+from symgraph.llm import decontaminate, embedding_dedup, html_density, line_dedup, packing, quality, secret_scan, simhash, token_counts, toxicity
 from symgraph.llm.tokens import public_tokenizer
 from symgraph.storage import stored
 
@@ -39,6 +39,10 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.9, recall=0.99)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), modulus=4, held_out=2)
@@ -62,6 +66,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_secret_scan": op10_secret_scan,
