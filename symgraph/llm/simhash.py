@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from symgraph.llm.bytescan import Texts, byte_set, lowered, slices
 from symgraph.llm.components import components
@@ -160,6 +161,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, docs[text_col].cast("string").alias("__text")).mapInArrow(scan, f"`{id_col}` {kind}, fp long")
 
 
+def with_fingerprints(docs: DataFrame, text_col: str = "text", words: int = 4, out: str = "fingerprint") -> DataFrame:
+    """``docs`` with the fingerprint of each row's text as 16 hexadecimal digits."""
+    position = docs.columns.index(text_col)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(position)
+            fp = [f"{x:016x}" for lo, hi in slices(texts) for x in fingerprints_of(Texts.of(texts.slice(lo, hi - lo)), words).tolist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.string())], [*batch.schema.names, out])
+
+    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))
+
+
 def _blocks(n: int) -> list[tuple[int, int]]:
     """(first bit, width) of n blocks of the 64 bits."""
     cuts = [round(64 * i / n) for i in range(n + 1)]
