@@ -95,9 +95,8 @@ def trigrams(texts: Texts) -> np.ndarray:
         follows[1:] = data[:-1] == 0xC3
         classes = np.where(follows, _TWO[data], classes)
     keep = ~((data >= 0xC0) | ((data >= 0x80) & (data < 0xC0) & (np.concatenate([[0], data[:-1]]) != 0xC3)))
-    last = np.zeros(len(data) + 1, bool)
-    last[texts.offsets[1:]] = True  # a break before the next text
-    classes = np.insert(classes[keep], np.flatnonzero(last[:-1][keep]), 0)
+    breaks = np.concatenate([[0], np.cumsum(keep)])[texts.offsets[1:-1]]  # before every text but the first
+    classes = np.insert(classes[keep], breaks, 0)
     classes = np.concatenate([[0], classes, [0]])
     inner = classes[1:-1]
     return np.bincount((classes[:-2] * _CLASSES + inner) * _CLASSES + classes[2:], minlength=_CLASSES**3)
