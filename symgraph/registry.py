@@ -1,4 +1,5 @@
 """All registered queries of the graph engine and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from symgraph.plans.catalogue import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
