@@ -133,14 +133,21 @@ def trace(nodes: DataFrame, edges: DataFrame, usr: str, depth: int = 5, backward
     return chains.join(nodes.select("usr", "name", "fqn"), "usr").select("chain", "depth", "usr", "name", "fqn")
 
 
+# The wording of a narrative.
+_HEADING = "=== Call Flow Narrative for {} ===\n"
+_UPSTREAM = ("UPSTREAM (Who calls this?):", "UPSTREAM: No callers found (entry point or unused)")
+_DOWNSTREAM = ("DOWNSTREAM (What does this call?):", "DOWNSTREAM: No callees found (leaf function)")
+
+
 def narrative(nodes: DataFrame, edges: DataFrame, usr: str, depth: int = 3) -> str:
     """Ten call paths to and ten from a function, as text."""
-    own = nodes.where(F.col("usr") == usr).select("fqn").first()
-    lines = [f"=== {own.fqn if own else usr} ==="]
-    for title, none, backwards in (("Callers", "No callers found.", True), ("Callees", "No callees found.", False)):
-        chains: dict[str, list] = {}
+
+    def section(backwards: bool, some: str, none: str) -> str:
+        chains: dict[str, dict[int, str]] = {}
         for r in trace(nodes, edges, usr, depth, backwards).collect():  # 100 paths at most
-            chains.setdefault(r.chain, []).append((r.depth, r.name))
-        ordered = sorted(chains.items(), key=lambda x: (len(x[1]), x[0]))[:10]
-        lines += [f"{title}:", *(("  " + " → ".join(n for _, n in sorted(own))) for _, own in ordered)] if ordered else [f"{title}: {none}"]
-    return "\n".join(lines)
+            chains.setdefault(r.chain, {})[r.depth] = r.name
+        shortest = sorted(chains.items(), key=lambda x: (len(x[1]), x[0]))[:10]
+        return "\n".join([some, *("  " + " → ".join(own[k] for k in sorted(own)) for _, own in shortest)]) if shortest else none
+
+    known = nodes.where(F.col("usr") == usr).select("fqn").first()
+    return "\n".join([_HEADING.format(known.fqn if known else usr), section(True, *_UPSTREAM), "", section(False, *_DOWNSTREAM)])
