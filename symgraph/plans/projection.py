@@ -41,6 +41,11 @@ _EDGE_PARTS = {
     ],
 }
 
+#: The calls of order lines again, with a look at the next line in place of a join.
+_NEXT_LINE = """SELECT concat('P:',p) src,'CALLS' rel,concat('P:',next_p) dst,CAST(o AS string) file,CAST(rn AS int) line FROM (
+SELECT l_orderkey o,l_partkey p,lead(l_partkey) OVER w next_p,lead(l_orderkey) OVER w next_o,row_number() OVER w rn FROM {lineitem}
+WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey,l_quantity,l_extendedprice)) t WHERE next_o IS NOT NULL"""
+
 #: Where the nodes are that a prefix of a usr names.
 _HOME = {"R": "region", "N": "nation", "S": "supplier", "C": "customer", "P": "part", "O": "orders"}
 _ENDS = {"INHERITS_FROM": ("NCS", "RN"), "IMPLEMENTS": ("S", "R"), "DEFINES": ("C", "O"), "CALLS": ("P", "P"), "OVERRIDES": ("P", "P")}
@@ -68,7 +73,7 @@ class Projection:
         return reduce(DataFrame.unionByName, [self.sql(_NODE_PARTS[h]) for h in homes or _NODE_PARTS])
 
     def raw_edges(self, *relationships: str) -> DataFrame:
-        return reduce(DataFrame.unionByName, [self.sql(text) for r in relationships or _EDGE_PARTS for text in _EDGE_PARTS[r]])
+        return reduce(DataFrame.unionByName, [self.sql(_NEXT_LINE if "{lineitem}" in text else text) for r in relationships or _EDGE_PARTS for text in _EDGE_PARTS[r]])
 
     def edges(self, *relationships: str) -> DataFrame:
         """Edges whose ends both exist, one for each key. The ends of a relationship live in few tables, so only these are joined."""
