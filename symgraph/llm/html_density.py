@@ -43,7 +43,7 @@ _CLOSES = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "caption"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
     "body": ({"head"}, set()), "a": ({"a"}, {"td", "th", "li", "div", "p", "table"}),
 }
-_NEVER_TEXT = frozenset("script style noscript template textarea title head nav footer aside form button select option datalist input iframe object embed canvas svg math video audio map dialog menu noembed noframes xmp search".split())
+_NEVER_TEXT = frozenset("script style noscript template textarea title head nav footer aside form button select option datalist input iframe object embed canvas svg video audio map dialog menu noembed noframes xmp search".split())
 _NEVER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NEVER_NAME = re.compile(
     r"(?:^|[-_])(?:ads?|adverts?|advertisement|advertising|adsense|adbox|sponsor(?:ed|s)?|promo(?:tion|s)?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|signup|login|sidebar|sidenav|widgets?"
