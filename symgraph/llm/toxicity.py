@@ -242,20 +242,32 @@ def _features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return n, np.concatenate(docs), (np.concatenate(found) >> _U(64 - _BITS)).astype(np.int64)
 
 
-def _word_weights(n: np.ndarray, doc: np.ndarray, number: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The log rate ratio of each feature that significantly more of the toxic documents have; 0 for the others. y: -1 for documents left out."""
-    size = 1 << _BITS
-    label = y[doc]
-    times, have = [], []
-    for c in (0, 1):
-        own = label == c
-        times.append(np.bincount(number[own], minlength=size).astype(np.float64))
-        have.append(np.bincount(np.unique(doc[own].astype(np.int64) << _BITS | number[own]) & (size - 1), minlength=size))
-    words, docs = [max(1, n[y == c].sum()) for c in (0, 1)], [max(1, (y == c).sum()) for c in (0, 1)]
-    share = [(have[c] + 0.5) / (docs[c] + 1) for c in (0, 1)]
-    z = (share[1] - share[0]) / np.sqrt((have[0] + have[1] + 1) / sum(docs) * (1 / docs[0] + 1 / docs[1]))
-    ratio = np.log((times[1] + 0.5 * words[1] / words[0]) / words[1]) - np.log((times[0] + 0.5) / words[0])
-    return np.where((have[1] >= 2) & (z > 3) & (ratio > 0.7), ratio, 0.0).astype(np.float32)
+class _Tally:
+    """How often each feature occurs, and in how many documents, by label and fold."""
+
+    def __init__(self):
+        self.times, self.have = np.zeros((2, 2, 1 << _BITS), np.int32), np.zeros((2, 2, 1 << _BITS), np.int32)
+        self.words, self.docs = np.zeros((2, 2), np.int64), np.zeros((2, 2), np.int64)
+
+    def add(self, n: np.ndarray, doc: np.ndarray, number: np.ndarray, y: np.ndarray, fold: np.ndarray) -> None:
+        kind = 2 * y + fold
+        of = kind[doc]
+        for k in range(4):
+            own = of == k
+            at = divmod(k, 2)
+            self.times[at] += np.bincount(number[own], minlength=1 << _BITS).astype(np.int32)
+            self.have[at] += np.bincount(np.unique(doc[own].astype(np.int64) << _BITS | number[own]) & ((1 << _BITS) - 1), minlength=1 << _BITS).astype(np.int32)
+            self.words[at] += n[kind == k].sum()
+            self.docs[at] += (kind == k).sum()
+
+    def weights(self, folds: list[int]) -> np.ndarray:
+        """The log rate ratio of each feature that significantly more of the toxic documents of some folds have; 0 for the others."""
+        times, have = (x[:, folds].sum(1) for x in (self.times, self.have))
+        words, docs = (np.maximum(1, x[:, folds].sum(1)) for x in (self.words, self.docs))
+        share = [(have[c] + 0.5) / (docs[c] + 1) for c in (0, 1)]
+        z = (share[1] - share[0]) / np.sqrt((have[0] + have[1] + 1) / docs.sum() * (1 / docs[0] + 1 / docs[1]))
+        ratio = np.log((times[1] + 0.5 * words[1] / words[0]) / words[1]) - np.log((times[0] + 0.5) / words[0])
+        return np.where((have[1] >= 2) & (z > 3) & (ratio > 0.7), ratio, 0.0).astype(np.float32)
 
 
 def _document_columns(n: np.ndarray, doc: np.ndarray, number: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -276,20 +288,21 @@ class ToxicityModel:
 
     def __init__(self, restorer: Restorer, texts: list[str], y: np.ndarray):
         self.restorer = restorer
-        parts, at = [], 0
         column = restorer.restored(pa.array(texts, pa.large_string()))
-        for lo, hi in slices(column):
-            n, doc, number = _features(Texts.of(column.slice(lo, hi - lo)))
-            parts.append((n, doc + np.int32(at), number))
-            at += hi - lo
-        n, doc, number = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
-        columns = np.zeros((len(y), 9))
         fold = np.arange(len(y)) % 2
-        for f in (0, 1):
-            crossed = _document_columns(n, doc, number, _word_weights(n, doc, number, np.where(fold == f, -1, y)))
-            columns[fold == f] = crossed[fold == f]
+        # features are made anew for each pass; only tallies of a fixed size are held
+        tally = _Tally()
+        for lo, hi in slices(column, 1 << 19):
+            tally.add(*_features(Texts.of(column.slice(lo, hi - lo))), y[lo:hi], fold[lo:hi])
+        crossed = [tally.weights([1]), tally.weights([0])]
+        columns = np.zeros((len(y), 9))
+        for lo, hi in slices(column, 1 << 19):
+            found = _features(Texts.of(column.slice(lo, hi - lo)))
+            for f in (0, 1):
+                own = fold[lo:hi] == f
+                columns[lo:hi][own] = _document_columns(*found, crossed[f])[own]
         self.regression = Logistic(columns, y)
-        self.weights = _word_weights(n, doc, number, y)
+        self.weights = tally.weights([0, 1])
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = []
