@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from symgraph.llm.batches import bound_batches
 from symgraph.llm.tokens import public_tokenizer
 from symgraph.storage import stored
 
@@ -21,12 +22,14 @@ WORDS, RADIUS = 5, 6
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from ``labels`` and counts characters over ``docs``."""
+    bound_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.with_scores(docs, model, "text", "__toxicity").where(F.col("__toxicity") < TOXIC).drop("__toxicity")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the chunks of lines that stand in an earlier one."""
+    bound_batches(spark)
     kept = line_dedup.remove_repeated(docs, removed="__removed").drop("__removed")
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -35,6 +38,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id, and one of its rows if it has several. Of documents without an id, one of each fingerprint stays if the group has no id."""
+    bound_batches(spark)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key")
     groups = simhash.near_duplicates(docs, words=WORDS, radius=RADIUS)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key, F.col("fingerprint").alias("__fp")).distinct()
@@ -45,6 +49,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
+    bound_batches(spark)
     found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = stored(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
     return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
@@ -52,6 +57,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 1024 tokens."""
+    bound_batches(spark)
     return packing.pack(docs, public_tokenizer(), capacity=1024, end=2)
 
 

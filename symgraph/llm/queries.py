@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from symgraph.llm import decontaminate, embedding_dedup, html_density, line_dedup, packing, quality, secret_scan, simhash, token_counts, toxicity
+from symgraph.llm.batches import bound_batches
 from symgraph.llm.tokens import public_tokenizer
 from symgraph.storage import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -24,7 +24,7 @@ from symgraph.llm.bytescan import Texts, byte_set, hashes, prefix_sums, ragged,
 _U = np.uint64
 
 #: Slots of a task's pre-token table, and ids kept before it starts anew; they bound its memory.
-_SLOT_BITS, _MOST_IDS = 21, 1 << 24
+_SLOT_BITS, _MOST_IDS = 20, 1 << 22
 
 _LETTER, _NUMBER, _SPACE, _SIGN, _ODD = 1, 2, 3, 4, 5
 _CLASS = np.full(256, _SIGN, np.uint8)
@@ -170,7 +170,7 @@ def token_ids(texts: pa.Array, path: str, end: int) -> Iterator[np.ndarray]:
     """For each text its ids and then ``end``; a null counts as empty."""
     encoder = _encoder(path)
     last = np.array([end], "<u4")
-    for lo, hi in slices(texts, 1 << 20):
+    for lo, hi in slices(texts, 1 << 19):
         own = Texts.of(texts.slice(lo, hi - lo))
         _, _, unknown = pretokens(own)
         if not encoder.known:
