@@ -9,15 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from symgraph.llm import decontaminate, line_dedup, packing, shingle_sets, toxicity
 from symgraph.llm.batches import bound_batches
 from symgraph.llm.tokens import public_tokenizer
 from symgraph.storage import stored
 
 #: Documents that score this much or more are toxic.
 TOXIC = 0.3
-#: Fingerprints of five-word shingles that differ in so many bits at most are near copies.
-WORDS, RADIUS = 5, 6
+#: Documents whose sets of five-word shingles have this Jaccard similarity or more are near copies.
+WORDS, SIMILARITY = 5, 0.8
+#: Fingerprints within so many bits are what the brute-force test of the smallest tables holds the stage against; the stage does not use it.
+RADIUS = 6
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +39,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id, and one of its rows if it has several. Of documents without an id, one of each fingerprint stays if the group has no id."""
+    """One document of each group of near copies: that with the smallest id, and one of its rows if it has several. Of documents without an id, one of each shingle set stays if the group has no id."""
     bound_batches(spark)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key")
-    groups = simhash.near_duplicates(docs, words=WORDS, radius=RADIUS)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key, F.col("fingerprint").alias("__fp")).distinct()
-    printed = simhash.with_fingerprints(docs, "text", WORDS, "__fp").select("*", key)
-    # both the join and the choice of one row are by key and fingerprint, so the texts are sent once
-    return printed.join(first, ["__key", "__fp"]).dropDuplicates(["__key", "__fp"]).select(*docs.columns)
+    groups = shingle_sets.near_duplicates(docs, words=WORDS, similarity=SIMILARITY)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key, F.col("print").alias("__set")).distinct()
+    printed = shingle_sets.with_prints(docs, "text", WORDS, "__set").select("*", key)
+    # both the join and the choice of one row are by key and set, so the texts are sent once
+    return printed.join(first, ["__key", "__set"]).dropDuplicates(["__key", "__set"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,8 +128,8 @@ def _majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints_of(texts: Texts, words: int = 4) -> np.ndarray:
-    """The SimHash of each text over shingles of ``words`` words."""
+def shingle_hashes(texts: Texts, words: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle of ``words`` words, text by text, and the number of them in each text."""
     data = lowered(texts.data)
     separators = _SEPARATOR[data]
     starts, stops, at = texts.runs(~separators)
@@ -144,7 +144,12 @@ def fingerprints_of(texts: Texts, words: int = 4) -> np.ndarray:
     counts = np.where(n >= words, n - words + 1, np.minimum(n, 1))
     begins = np.repeat(at[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
     ends = np.minimum(begins + words, np.repeat(at[1:], counts)) - 1
-    return _majority(xxh64(joined, starts[begins], stops[ends]), counts)
+    return xxh64(joined, starts[begins], stops[ends]), counts
+
+
+def fingerprints_of(texts: Texts, words: int = 4) -> np.ndarray:
+    """The SimHash of each text over shingles of ``words`` words."""
+    return _majority(*shingle_hashes(texts, words))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
