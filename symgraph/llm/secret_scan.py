@@ -21,8 +21,9 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +42,17 @@ _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-F
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _BASE64_LINES = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{4,})+={0,2}")
 
+_STRAY = re.compile("[\udc80-\udcff]")
+
 #: What a text must hold (RE2, whole column at once) to be scanned or unwrapped at all.
 _NEEDS_SCAN = r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]|[0-9a-f]{32}"
 _NEEDS_UNWRAP = r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#[xX0-9]|[A-Za-z0-9+/_-]{16}"
 
-#: Guard against decompression bombs: bytes that one compressed run may expand to. A longer run is unwrapped up to there.
-MAX_EXPANDED = 64 << 20
+#: Expanded bytes are taken in windows of so many, each with the end of the one before.
+WINDOW, OVERLAP = 64 << 20, 1 << 20
+#: The share of its characters that text has at least, of those that print or are blank or invisible.
+TEXT_SHARE = 0.75
+_HARMLESS = frozenset("\t\n\v\f\r\x1b\0\xa0\xad\u200b\u200c\u200d\u200e\u200f\u2028\u2029\u2060\ufeff")
 
 SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long"
 
@@ -59,38 +65,68 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _expand(data: bytes) -> bytes | None:
-    """What compressed bytes hold, or None if they are not compressed."""
+def _decompressor(data: bytes):
+    """A new decompressor for compressed bytes, or None if they are not compressed."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
+        return zlib.decompressobj(15)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _blocks(data: bytes) -> Iterator[bytes]:
+    """What compressed bytes hold, member after member, in blocks; it ends where they are damaged."""
     try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MAX_EXPANDED)
-        if len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-            return zlib.decompressobj(15).decompress(data, MAX_EXPANDED)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MAX_EXPANDED)
-        if data[:6] == b"\xfd7zXZ\0":
-            return lzma.LZMADecompressor().decompress(data, MAX_EXPANDED)
         if data[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            return zstandard.ZstdDecompressor().stream_reader(data).read(MAX_EXPANDED)
+            reader = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True)
+            while block := reader.read(OVERLAP):
+                yield block
+            return
+        while (member := _decompressor(data)) is not None:
+            while not member.eof:
+                block = member.decompress(data, OVERLAP)
+                data = member.unconsumed_tail if hasattr(member, "unconsumed_tail") else b""
+                if block:
+                    yield block
+                elif not data and not member.eof:
+                    return  # cut short
+            data = member.unused_data.lstrip(b"\0")
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
+        return
     except Exception as error:  # zstandard's own error class
-        if type(error).__name__ == "ZstdError":
-            return None
-        raise
-    return None
+        if type(error).__name__ != "ZstdError":
+            raise
+
+
+def _expand(data: bytes) -> Iterator[bytes]:
+    """What compressed bytes hold, in overlapping windows; nothing if they are not compressed."""
+    held, size, fresh = [], 0, False
+    for block in _blocks(data):
+        held.append(block)
+        size, fresh = size + len(block), True
+        if size >= WINDOW:
+            window = b"".join(held)
+            yield window
+            held, size, fresh = [window[-OVERLAP:]], min(OVERLAP, len(window)), False
+    if fresh:
+        yield b"".join(held)
 
 
 def _readable(data: bytes) -> str | None:
-    """Bytes as text, or None if they are hardly text."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    bare = text.replace("\n", "").replace("\r", "").replace("\t", "")
-    return text if text and (bare.isprintable()) else None
+    """Bytes as text, with one U+FFFD for each byte that is no UTF-8, or None if they are hardly text and hold no secret."""
+    text = data.decode(errors="surrogateescape")
+    if not text.isprintable():
+        good = sum(n for c, n in Counter(text).items() if c.isprintable() or c in _HARMLESS)
+        text = _STRAY.sub("\ufffd", text)
+        if good < TEXT_SHARE * len(text) and not base_spans(text):
+            return None
+    return text or None
 
 
 class _Layer:
@@ -103,22 +139,27 @@ class _Layer:
         return int(self.first[start:end].min()), int(self.last[start:end].max())
 
 
-def _decoded_bytes(data: bytes, first: np.ndarray, last: np.ndarray) -> _Layer | None:
-    """A layer of bytes each of which has a range; compressed bytes are expanded and then all have the whole range."""
-    if (inner := _expand(data)) is not None:
-        if (text := _readable(inner)) is None:
-            again = _expand(inner)
-            if again is None or again == inner:
-                return None
-            return _decoded_bytes(inner, np.full(len(inner), first.min()), np.full(len(inner), last.max()))
-        return _Layer(text, np.full(len(text), first.min()), np.full(len(text), last.max()))
-    if (text := _readable(data)) is None:
-        return None
+def _decoded_bytes(data: bytes, first: np.ndarray, last: np.ndarray, seen: frozenset = frozenset()) -> Iterator[_Layer]:
+    """Layers of bytes each of which has a range; compressed bytes are expanded and then all have the whole range."""
+    expanded = False
+    print_ = hashlib.sha256(data).digest()
+    if print_ not in seen:  # bytes may expand to themselves
+        low, high = first.min(), last.max()
+        for inner in _expand(data):
+            expanded = True
+            yield from _decoded_bytes(inner, np.broadcast_to(low, len(inner)), np.broadcast_to(high, len(inner)), seen | {print_})
+    if expanded or (text := _readable(data)) is None:
+        return
     if len(text) == len(data):
-        return _Layer(text, first, last)
-    lengths = np.array([len(c.encode()) for c in text])
+        yield _Layer(text, first, last)
+        return
+    # a stray byte stands as one character
+    strict = data.decode(errors="surrogateescape")
+    codes = np.frombuffer(strict.encode("utf-32-le", "surrogatepass"), "<u4")
+    lengths = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    lengths[(codes >= 0xDC80) & (codes <= 0xDCFF)] = 1
     ends = np.cumsum(lengths)
-    return _Layer(text, first[ends - lengths], last[ends - 1])
+    yield _Layer(text, first[ends - lengths], last[ends - 1])
 
 
 def _substituted(layer: _Layer, pieces: list[tuple[int, int, _Layer]]) -> _Layer:
@@ -138,9 +179,10 @@ def _percent(layer: _Layer) -> Iterator[_Layer]:
     for m in _PERCENT.finditer(layer.text):
         data = bytes.fromhex(m[0].replace("%", ""))
         at = m.start() + 3 * np.arange(len(data))
-        new = _decoded_bytes(data, layer.first[at], layer.last[at + 2])
-        if new is not None:
+        windows = _decoded_bytes(data, layer.first[at], layer.last[at + 2])
+        if (new := next(windows, None)) is not None:
             pieces.append((m.start(), m.end(), new))
+            yield from windows
     if pieces:
         yield _substituted(layer, pieces)
 
@@ -178,29 +220,31 @@ def _base64(layer: _Layer) -> Iterator[_Layer]:
             continue
         at = np.arange(len(data))
         first, last = at * 8 // 6, np.minimum((at * 8 + 7) // 6, len(run) - 1)
-        new = _decoded_bytes(data, layer.first[kept[first]], layer.last[kept[last]])
-        if new is not None:
-            yield new
+        yield from _decoded_bytes(data, layer.first[kept[first]], layer.last[kept[last]])
 
 
 def all_spans(text: str) -> tuple[set[tuple[int, int, int]], int]:
     """(start, kind, end) of the secrets of ``text`` and of all layers in it, and the number of layers."""
     at = np.arange(len(text))
-    work, seen, found = deque([_Layer(text, at, at + 1)]), {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}, set()
-    layers = 0
+    seen, found = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}, set()
+    # layers are made one at a time, so that windows of a long one are not held together
+    work, layers = [iter([_Layer(text, at, at + 1)])], 0
     while work:
-        layer = work.popleft()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if layers:
+            # the same text from another place is another finding; the same text from the same place is a cycle
+            key = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass") + b"\0%d:%d" % (layer.first.min(), layer.last.max())).digest()
+            if key in seen:
+                continue
+            seen.add(key)
         layers += 1
         for start, kind, end in base_spans(layer.text):
             low, high = layer.origin(start, end)
             found.add((low, kind, high))
-        for unwrap in (_percent, _escapes, _base64):
-            for new in unwrap(layer):
-                # the same text from another place is another finding; the same text from the same place is a cycle
-                key = hashlib.sha256(new.text.encode("utf-8", "surrogatepass") + b"\0%d:%d" % (new.first.min(), new.last.max())).digest()
-                if key not in seen:
-                    seen.add(key)
-                    work.append(new)
+        work.append(chain.from_iterable(map(lambda unwrap, layer=layer: unwrap(layer), (_percent, _escapes, _base64))))
     return found, layers
 
 

@@ -65,3 +65,27 @@ def test_query_equals_brute_force(spark):
         assert row.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert set(filter(None, joined.split(","))) <= set(row.spans.split(","))
     assert secret_scan.scan_secrets(df.limit(0)).collect() == []
+
+
+def _kinds(data):
+    return [s[1] for s in secret_scan.all_spans("x " + base64.b64encode(data).decode() + " y")[0]]
+
+
+@pytest.mark.parametrize("odd", ["\0", "\x1b", "\f", "\xa0", "​", "﻿", b"\xff", b"\xe2\x82"])
+def test_one_odd_character_keeps_the_layer(odd):
+    odd = odd if isinstance(odd, bytes) else odd.encode()
+    data = b"host = example\n" + odd + b" " + SECRET.encode() + b"\nport = 80\n"
+    assert _kinds(data) == [0] and _kinds(gzip.compress(data)) == [0]
+    run = "".join(f"%{b:02X}" for b in data)
+    at = 3 * data.index(b"token")
+    assert [s for s in secret_scan.all_spans(run)[0] if s[1] == 0] == [(at, 0, at + 3 * (len(SECRET) - 1))]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress])
+def test_later_members_and_windows(pack, monkeypatch):
+    assert _kinds(pack(b"first member, " * 3) + pack(SECRET.encode())) == [0]
+    monkeypatch.setattr(secret_scan, "WINDOW", 4096, raising=False)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 256, raising=False)
+    monkeypatch.setattr(secret_scan, "MAX_EXPANDED", 4096, raising=False)
+    for lead in range(4060, 4100, 7):
+        assert _kinds(pack("é".encode() * (lead // 2) + b" " + SECRET.encode() + b" " * 9000)) == [0]
