@@ -1,8 +1,8 @@
-"""Bounded Arrow batches between the JVM and Python tasks."""
+"""Bounded Arrow batches between the JVM and Python tasks, and names for columns of our own."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a batch; documents are a few kilobytes, and a task holds a batch or two on either side.
 ROWS = 2000
@@ -14,3 +14,11 @@ def bound_batches(spark: SparkSession, rows: int = ROWS) -> None:
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+
+
+def fresh(table: DataFrame, name: str) -> str:
+    """A column name that ``table`` has not, whatever its columns are called."""
+    taken, name = {c.lower() for c in table.columns}, f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
