@@ -2,16 +2,19 @@
 
 A text's set holds the XXH64 of its shingles of words (as in ``simhash``), each
 once.  Texts of equal sets are one class from the start, known by a 64-bit sum
-over the set.  Candidates come from MinHash signatures: ``BANDS`` bands of
-``ROWS`` minima each; two sets of similarity s share a band with probability
-1 - (1 - s**ROWS)**BANDS, which is 0.9995 at 0.8 and grows above.  Every
-candidate is then verified on the sets themselves, so no link is below the
-threshold.
-
-First each class is compared with the smallest of each of its bands, which
-joins a dense group with one pair a member.  Then, only in bands that still hold
-more than one group, all pairs across groups are compared, so that no candidate
-is passed over.  Texts are read again only for the classes in candidate pairs.
+over the set.  Every candidate pair is verified on the sets themselves, so no
+link is below the threshold.
+
+The first candidates are the links of the SimHash operator: equal fingerprints,
+and those its bit-sliced comparison finds within a few bits.  A fingerprint
+within so few bits is sure only of very close texts, so the rest comes from
+MinHash signatures: ``BANDS`` bands of ``ROWS`` minima each; two sets of
+similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS, which is
+0.9995 at 0.8 and grows above.  Each class is compared with the smallest of each
+of its bands, if no link joins them yet, which joins a dense group with one pair
+a member.  Then, only in bands that still hold more than one group, all pairs
+across groups are compared, so that no candidate is passed over.  Texts are read
+again only for the classes in candidate pairs.
 
 Defined results: a null or empty text, or one of separators alone, has the empty
 set, and all of them are one class; texts of fewer words than a shingle are one
@@ -25,13 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from symgraph.llm.bytescan import Texts, _mix, slices
 from symgraph.llm.components import components
-from symgraph.llm.simhash import shingle_hashes
+from symgraph.llm.simhash import _majority, fingerprint_links, shingle_hashes
 from symgraph.storage import stored
 
 _U = np.uint64
@@ -46,7 +48,11 @@ _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS).astype(_U) | _U(1)
 
 def sets_of(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text, ascending, and where each text's begin (n + 1 entries)."""
-    h, counts = shingle_hashes(texts, words)
+    return distinct_of(*shingle_hashes(texts, words))
+
+
+def distinct_of(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``sets_of`` for the hashes of all shingles and the number of them in each text."""
     row = np.repeat(np.arange(len(counts)), counts)
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
@@ -77,44 +83,36 @@ def bands_of(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, text hash, print, bands): a row for each row of ``docs``; bands is empty for the empty set."""
+    """(id, own, print, fp, bands): a row for each row of ``docs``: text hash, set, fingerprint; bands is empty for the empty set."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2)
             for lo, hi in slices(texts):
-                h, at = sets_of(Texts.of(texts.slice(lo, hi - lo)), words)
+                shingles = shingle_hashes(Texts.of(texts.slice(lo, hi - lo)), words)
+                h, at = distinct_of(*shingles)
                 full, keys = bands_of(h, at)
                 ends = np.zeros(hi - lo + 1, np.int32)
                 ends[full + 1] = BANDS
                 bands = pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-                print_ = pa.array(prints_of(h, at).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), print_, bands], ["id", "own", "print", "bands"])
+                print_, fp = (pa.array(x.view(np.int64)) for x in (prints_of(h, at), _majority(*shingles)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), print_, fp, bands], ["id", "own", "print", "fp", "bands"])
 
     text = docs[text_col].cast("string")
-    return docs.select(id_col, F.xxhash64(text), text).mapInArrow(scan, f"id {kind}, own long, print long, bands array<long>")
+    return docs.select(docs[id_col].alias("id"), text_hash(text).alias("own"), text.alias("text")).mapInArrow(scan, f"id {kind}, own string, print long, fp long, bands array<long>")
 
 
-def with_prints(docs: DataFrame, text_col: str, words: int, out: str) -> DataFrame:
-    """``docs`` with the print of each row's shingle set."""
-    position = docs.columns.index(text_col)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(position)
-            found = [prints_of(*sets_of(Texts.of(texts.slice(lo, hi - lo)), words)) for lo, hi in slices(texts)]
-            found = np.concatenate([np.zeros(0, _U), *found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, out])
-
-    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
+def text_hash(text) -> Column:
+    """What a text is known by; a null is an empty text."""
+    return F.md5(F.coalesce(text, F.lit("")))
 
 
 def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text_col: str, words: int) -> DataFrame:
     """(print, members): the sets of the classes that stand in ``pairs``, one row each."""
     wanted = pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print"))).distinct()
     texts = classes.join(wanted, "print").select("own")  # one text stands for its class
-    source = docs.select(docs[text_col].cast("string").alias("text")).withColumn("own", F.xxhash64("text")).join(texts, "own", "left_semi").select("text")
+    source = docs.select(docs[text_col].cast("string").alias("text")).withColumn("own", text_hash(F.col("text"))).join(texts, "own", "left_semi").select("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,27 +144,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, print, component_id): a row for each row of ``docs``; component_id is the smallest id that verified links reach."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+    """(id, own, group, component_id): a row for each row of ``docs``; own is the text's MD5, rows of one group are linked, component_id is the smallest id in it."""
     scanned = stored(prints(docs, id_col, text_col, words), "shingle-prints")
-    classes = stored(scanned.groupBy("print").agg(F.min("id").alias("least"), F.min("own").alias("own"), F.first("bands").alias("bands")), "shingle-classes")
-    keyed = classes.select("print", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("print").alias("low"), F.count("*").alias("n")).where("n > 1")
-    members = stored(keyed.join(shared, "key").select("key", "print", "low"), "shingle-bands")
+    classes = stored(scanned.groupBy("print").agg(F.min("id").alias("least"), F.min("own").alias("own"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "shingle-classes")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stored(pairs.distinct(), f"shingle-pairs-{name}")
         return stored(_verified(pairs, _sets(docs, classes, pairs, text_col, words), similarity), f"shingle-links-{name}")
 
-    first = links(members.where("print <> low").select(F.col("print").alias("a"), F.col("low").alias("b")), "first")
-    roots = components(first)
-    rooted = members.join(roots.withColumnRenamed("node", "print"), "print", "left").select("key", "print", "low", F.coalesce("root", "print").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    # the smallest of a band has been compared with all of it
-    rest = stored(rooted.join(mixed, "key").where("print <> low").select("key", "print", "root"), "shingle-rest")
+    def rooted(members: DataFrame, joined: DataFrame) -> DataFrame:
+        return members.join(components(joined).withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+
+    of_fp = stored(classes.groupBy("fp").agg(F.min("print").alias("least_print")), "shingle-fingerprints")
+    close = fingerprint_links(of_fp.select("fp"), radius)
+    first, second = (of_fp.select(F.col("fp").alias(side), F.col("least_print").alias(f"print_{side}")) for side in "ab")
+    same = classes.join(of_fp, "fp").where("print <> least_print").select(F.col("print").alias("a"), F.col("least_print").alias("b"))
+    found = links(same.unionByName(close.join(first, "a").join(second, "b").select(F.col("print_a").alias("a"), F.col("print_b").alias("b"))), "simhash")
+
+    by_print = stored(rooted(classes.select("print", "bands"), found).select("print", "root", F.explode("bands").alias("key")), "shingle-keys")
+    shared = by_print.groupBy("key").agg(F.min(F.struct("print", "root")).alias("low"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", "low")
+    members = stored(by_print.join(shared, "key").select("key", "print", "root", F.col("low.print").alias("low"), F.col("low.root").alias("low_root")), "shingle-bands")
+    found = stored(found.unionByName(links(members.where("root <> low_root").select(F.col("print").alias("a"), F.col("low").alias("b")), "first")), "shingle-links")
+
+    again = rooted(members.select("key", "print", "low"), found)
+    mixed = again.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    # the smallest of a band has been compared with all of it that was not linked with it
+    rest = stored(again.join(mixed, "key").select("key", "print", "root"), "shingle-rest")
     across = rest.alias("l").join(rest.alias("r"), "key").where("l.root <> r.root and l.print > r.print").select(F.col("l.print").alias("a"), F.col("r.print").alias("b"))
-    roots = components(first.unionByName(links(across, "rest")))
-    grouped = classes.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = grouped.join(least, "root").select("print", "component_id")
-    return scanned.select("id", "print").join(of_print, "print").select(F.col("id").alias(id_col), "print", "component_id")
+    grouped = rooted(classes.select("print", "least"), found.unionByName(links(across, "rest"))).select("print", "least", F.col("root").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    of_print = grouped.join(least, "group").select("print", "group", "component_id")
+    return scanned.select("id", "own", "print").join(of_print, "print").select(F.col("id").alias(id_col), "own", "group", "component_id")

@@ -3,7 +3,7 @@ from pyspark.sql import types as T
 import corpus_pipeline as pipeline
 from symgraph.storage import stored
 from tests.llm.test_decontaminate import brute as brute_hits
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_shingle_sets import brute_components
 
 DATA = "/root/testdata/sf0.001"
 
@@ -26,9 +26,8 @@ def test_stages_on_the_smallest_tables(spark):
         elif name == "line_dedup":
             assert ids == {r.doc_id for r in before} and all(r.n_chars == len(r.text) for r in after)
         elif name == "simhash_near_dedup":
-            fps = [brute_fingerprint(r.text, 5) for r in before]
-            first = brute_components(fps, [r.doc_id for r in before], pipeline.RADIUS)
-            assert ids == set(first) and len(after) == len(ids)
+            first = {least for _, least in brute_components([(r.doc_id, r.text) for r in before])}
+            assert ids == first and len(after) == len(ids)
         elif name == "decontamination":
             assert ids == {x[0] for x in brute_hits([(r.doc_id, r.text) for r in before], items) if not x[-1]}
         else:
@@ -48,3 +47,31 @@ def test_odd_rows_pass(spark, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(tmp_path / f"none/{name}.parquet"))
     assert pipeline.run(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_contaminated_rows_go_one_by_one(spark, tmp_path):
+    bad = "a passage of the benchmark that is long enough to be one whole window of it"
+    rows = [(None, bad, 1), (None, "a clean text without an id", 2), (7, "x " + bad, 3), (7, "another clean text", 4), (8, bad, 5), (8, bad, 6), (9, None, 7), (9, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __own long")
+    spark.createDataFrame([(1, bad)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted(r["__own"] for r in pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()) == [2, 4, 7, 8]
+
+
+def test_near_copies_of_shared_and_missing_ids(spark, tmp_path):
+    words = [f"w{i}" for i in range(100)]
+    text, near = " ".join(words), " ".join(words + ["more"])
+    rows = [(None, text, 1), (7, near, 2), (7, text, 3), (7, text, 3), (9, near, 4), (None, "alone without an id", 5), (7, "a text of its own", 6), (None, None, 7), (3, "", 8), (3, " ", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key long")
+    got = pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()
+    assert [r["__key"] for r in got if r.text in (text, near)] in ([2], [3]) and sorted(r["__key"] for r in got if r.text not in (text, near)) == [5, 6, 8]
+    again = pipeline.drop_near_copies(spark, docs.repartition(7), str(tmp_path)).collect()
+    assert {(r.doc_id, r.text) for r in got} == {(r.doc_id, r.text) for r in again}
+
+
+def test_toxic_rows_go_one_by_one(spark, tmp_path):
+    clean, foul = "plain words of a text", "vileword vileword"
+    rows = [(i, clean + f" {chr(97 + i % 26)}", "a") for i in range(60)] + [(i, foul + f" {chr(97 + i % 26)}", "a") for i in range(60, 90)] + [(None, foul, "b"), (None, clean, "c"), (1, foul, "d"), (200, None, "e"), (201, "", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __toxicity string")
+    spark.createDataFrame([(i, int(i >= 60)) for i in range(90) if i != 1], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()
+    assert sorted(r["__toxicity"] for r in got) == ["a"] * 60 + ["c", "e", "f"]

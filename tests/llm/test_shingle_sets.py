@@ -54,7 +54,7 @@ def test_stage_drops_copies_that_fingerprints_miss(spark, tmp_path):
         for at in range(20, 200, 50):  # 176 of 216 shingles are shared: 0.81
             other[at] = "changed"
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
-        far += (brute_fingerprint(rows[-1][1], 5) ^ brute_fingerprint(rows[-2][1], 5)).bit_count() > pipeline.RADIUS
+        far += (brute_fingerprint(rows[-1][1], 5) ^ brute_fingerprint(rows[-2][1], 5)).bit_count() > 6
     got = pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
     assert far > 10 and {r.doc_id for r in got.collect()} == set(range(0, 80, 2))
 
