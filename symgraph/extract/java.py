@@ -10,13 +10,13 @@ and no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from symgraph.schema import CALL, EDGE, NODE, SYMBOL, synthetic_usr
+from symgraph.extract import common
+from symgraph.extract.common import BLANK_NODE, Parsed
+from symgraph.schema import synthetic_usr
 
 # Fixed values of the Java language.
 _MODIFIERS = frozenset("public protected private static abstract final native synchronized transient volatile strictfp default sealed non-sealed".split())
@@ -39,15 +39,6 @@ class Token:
     line: int
 
 
-@dataclass
-class Parsed:
-    nodes: list[dict] = field(default_factory=list)
-    edges: list[dict] = field(default_factory=list)
-    symbols: list[dict] = field(default_factory=list)
-    calls: list[dict] = field(default_factory=list)
-    errors: list[str] = field(default_factory=list)
-
-
 def tokens_of(source: str) -> list[Token]:
     out, line = [], 1
     for m in _LEXER.finditer(source):
@@ -203,8 +194,7 @@ class _Reader:
         self.out.edges.append({"source_usr": source, "target_usr": target, "relationship": relationship, "file": self.file, "line": line})
 
     def _node(self, label: str, **row) -> None:
-        blank = {"namespace": None, "signature": None, "parent_fqn": None, "is_virtual": None, "is_pure_virtual": None, "is_static": None, "is_const": None, "is_abstract": None}
-        self.out.nodes.append({"label": label, **blank, "file": self.file, "language": "java", **row})
+        self.out.nodes.append({"label": label, **BLANK_NODE, "file": self.file, "language": "java", **row})
 
     def _type_declaration(self, words: list[str], outer: str | None, outer_usr: str | None) -> bool:
         keyword = self.at()
@@ -415,23 +405,9 @@ def parse(source: bytes | str, file: str) -> Parsed:
     try:
         return _Reader(text, file).file_unit()
     except (SyntaxTrouble, IndexError, KeyError, RecursionError) as error:
-        return Parsed(errors=[f"{file}: {error or type(error).__name__}"])
-
-
-_STRUCT = lambda fields: "struct<" + re.sub(r"(\w+) ([\w<>]+)", r"\1:\2", fields) + ">"
-_CALL_FIELDS = CALL.removeprefix("call_id long, ") + ", kind string"
-_OUT = f"file string, nodes array<{_STRUCT('label string, ' + NODE)}>, edges array<{_STRUCT(EDGE)}>, symbols array<{_STRUCT(SYMBOL)}>, calls array<{_STRUCT(_CALL_FIELDS)}>, errors array<string>"
+        return Parsed(errors=[f"{file}: {error or type(error).__name__}"], diagnostics=[{"severity": "fatal", "line": 0, "message": str(error) or type(error).__name__}])
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """(file, nodes, edges, symbols, calls, errors) of Java files (path, content): one row for each file, whatever its content."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                found = parse(content if content is not None else b"", path)
-                rows.append({"file": path, "nodes": found.nodes, "edges": found.edges, "symbols": found.symbols, "calls": found.calls, "errors": found.errors})
-            yield pd.DataFrame(rows, columns=["file", "nodes", "edges", "symbols", "calls", "errors"])
-
-    return files.select("path", "content").mapInPandas(run, _OUT)
+    """One row for each Java file (path, content), as ``common.extract`` gives it."""
+    return common.extract(files, parse)

@@ -54,6 +54,19 @@ def arity_by_commas(signature) -> Column:
     return F.when(F.length(F.trim(s)) > 0, F.size(F.split(s, ",")))
 
 
+def scope_of(fqn) -> Column:
+    """What stands before the last ``::``, or ''."""
+    return F.when(F.contains(_c(fqn), F.lit("::")), F.regexp_replace(_c(fqn), "::[^:]*$", "")).otherwise(F.lit(""))
+
+
+def cpp_arity(signature) -> Column:
+    """Parameters in a C++ signature: commas in template arguments and the const of a method do not count."""
+    s = F.regexp_replace(F.coalesce(_c(signature), F.lit("")), r"(^| )const$", "")
+    for _ in range(3):
+        s = F.regexp_replace(s, r"<[^<>]*>|\([^()]*\)", "")
+    return arity(s)
+
+
 def signature_key(signature) -> Column:
     """A signature without white space; null when nothing is left."""
     s = F.regexp_replace(_c(signature), r"\s+", "")
@@ -86,9 +99,15 @@ def path_text(names) -> Column:
 
 
 def short_number(n) -> Column:
-    """1234 as 1.2K, 2500000 as 2.5M."""
+    """1234 as 1.2K, 2500000 as 2.5M: the exact binary value of the quotient to one digit, its ties up."""
     n = _c(n)
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1000, F.format_string("%.1fK", n / 1e3)).otherwise(n.cast("string"))
+
+    def scaled(unit: int, letter: str) -> Column:
+        # format_number rounds the exact value with ties to even; the only ties are at a quarter, where it goes down, and at three quarters
+        tie = (n % unit) == unit // 4
+        return F.concat(F.when(tie, F.concat(F.floor(n / unit).cast("string"), F.lit(".3"))).otherwise(F.format_number(n / float(unit), "0.0")), F.lit(letter))
+
+    return F.when(n >= 1_000_000, scaled(1_000_000, "M")).when(n >= 1000, scaled(1000, "K")).otherwise(n.cast("string"))
 
 
 def base_name(path) -> Column:

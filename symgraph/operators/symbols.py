@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.functions.scalars import arity, arity_by_commas, package_of, simple_name, unresolved_usr
+from symgraph.functions.scalars import arity, arity_by_commas, cpp_arity, package_of, scope_of, simple_name, unresolved_usr
 from symgraph.operators.ingest import union_all
 
 
@@ -155,3 +155,30 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, ancestors: DataFrame) ->
     exact = whole.join(symbols.select("fqn", "usr"), F.substring_index("fqn", "(", 1) == F.col("full")).select("call_id", F.lit(3).alias("prio"), F.lit(0).alias("pos"), "fqn", "usr")
     best = _best([ranked, exact], "call_id")
     return calls.join(best, "call_id", "left").select("call_id", F.coalesce("usr", unresolved_usr("qualifier", "member")).alias("target"), F.col("usr").isNotNull().alias("resolved"))
+
+
+def resolve_bases(queued: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(call_id, usr, fqn) of queued base names: the class of that name in the first of the reference's scopes that has one."""
+    asked = queued.select("call_id", "member", F.posexplode("imports").alias("pos", "scope"))
+    named = asked.withColumn("fqn", F.concat_ws("::", F.when(F.length("scope") > 0, F.col("scope")), "member"))
+    classes = symbols.where(F.col("kind").isin("class", "interface")).select("fqn", "usr")
+    return _best([named.join(classes, "fqn").select("call_id", F.lit(1).alias("prio"), "pos", "fqn", "usr")], "call_id")
+
+
+def resolve_scoped(queued: DataFrame, symbols: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """(call_id, usr, fqn) of queued calls and overrides whose scopes (``imports``) are ordered.
+
+    A call goes to a function of its name in the first scope that has one, or
+    whose ancestors have one, nearest first; in one scope the number of
+    parameters decides, then the qualified name.  An override looks in ancestors
+    alone, for the same signature (``qualifier``).  ``ancestors``: class_fqn,
+    ancestor_fqn, dist.
+    """
+    asked = queued.select("call_id", "kind", F.col("member").alias("simple_name"), "qualifier", F.col("arguments_count").alias("arguments"), F.posexplode("imports").alias("pos", "scope"))
+    above = asked.join(ancestors.withColumnRenamed("class_fqn", "scope"), "scope").drop("scope").withColumnRenamed("ancestor_fqn", "scope")
+    here = asked.where("kind <> 'CPP_OVERRIDES'").withColumn("dist", F.lit(0))
+    functions = symbols.where(F.col("kind").isin("method", "function", "constructor")).select("fqn", "usr", "signature", scope_of("fqn").alias("scope"), simple_name("fqn").alias("simple_name"), cpp_arity("signature").alias("arity"))
+    pairs = here.unionByName(above).join(functions, ["scope", "simple_name"])
+    pairs = pairs.where((F.col("kind") != "CPP_OVERRIDES") | F.col("signature").eqNullSafe(F.col("qualifier")))
+    misfit = F.when(F.col("arity") == F.col("arguments"), 0).otherwise(1)
+    return _best([pairs.select("call_id", F.col("pos").alias("prio"), (F.col("dist") * 2 + misfit).alias("pos"), "fqn", "usr")], "call_id")

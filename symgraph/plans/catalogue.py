@@ -393,7 +393,12 @@ def signature_arity(g):
     return g.nodes("part", "orders").select("usr", scalars.arity("signature").cast("long").alias("arity"), scalars.signature_key("signature").alias("bare"))
 
 
-@query("SELECT l_orderkey AS k, CAST(count(*) AS bigint) AS n, CASE WHEN sum(l_partkey) >= 1000000 THEN printf('%.1fM', sum(l_partkey) / 1e6) WHEN sum(l_partkey) >= 1000 THEN printf('%.1fK', sum(l_partkey) / 1e3) ELSE CAST(sum(l_partkey) AS string) END AS shown FROM lineitem GROUP BY 1", prelude=False)
+def _shown_sql(n: str) -> str:
+    scaled = lambda unit, letter: f"concat(CASE WHEN {n} % {unit} = {unit // 4} THEN concat(CAST({n} // {unit} AS string), '.3') ELSE printf('%.1f', {n} / {unit}.0::double) END, '{letter}')"
+    return f"CASE WHEN {n} >= 1000000 THEN {scaled(1000000, 'M')} WHEN {n} >= 1000 THEN {scaled(1000, 'K')} ELSE CAST({n} AS string) END"
+
+
+@query(f"SELECT k, n, {_shown_sql('s')} AS shown FROM (SELECT l_orderkey AS k, CAST(count(*) AS bigint) AS n, CAST(sum(l_partkey) AS bigint) AS s FROM lineitem GROUP BY 1)", prelude=False)
 def short_numbers(g):
     sums = g.table("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"), F.sum("l_partkey").alias("s"))
     return sums.select("k", "n", scalars.short_number("s").alias("shown"))

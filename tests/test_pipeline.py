@@ -65,6 +65,44 @@ def test_index_a_tree_and_ask(spark, tree, capsys):
     assert cli.main(["ask", "--store", store + "-none", "stats"], spark) == 1
 
 
+def graph_rows(spark, store):
+    graph = GraphStore(spark, str(store))
+    return [sorted(map(str, graph.read(t).collect())) for t in ("nodes", "edges", "dangling", "symbols")]
+
+
+def test_incremental_runs_equal_full_ones(spark, tmp_path):
+    files = {
+        "p/A.java": "package p; public class A { int run() { return 1; } }",
+        "p/B.java": "package p; class B extends A { void b() { run(); } }",
+        "p/C.java": "package p; class C { void c() { new B().b(); B.x(); } }",
+        "p/D.java": "package p; class D extends B { void d() { run(); b(); } }",
+    }
+
+    def write(changes):
+        for name, text in changes.items():
+            path = tmp_path / "src" / name
+            path.parent.mkdir(parents=True, exist_ok=True)
+            if text is None:
+                path.unlink()
+            else:
+                path.write_text(text)
+
+    write(files)
+    pipeline.run(spark, str(tmp_path / "src"), str(tmp_path / "store"))
+    steps = [
+        {"p/B.java": "package p;\nclass B extends A { void b() { run(); } static void x() {} }", "p/C.java": None},  # moved by a line, and another gone
+        {"p/A.java": "package p; public class A { }", "q/E.java": "class Broken {", "p/C.java": files["p/C.java"]},
+        {"q/E.java": "package q; class E extends p.D { void e() { super.d(); } }", "p/B.java": None},
+    ]
+    for k, changes in enumerate(steps):
+        write(changes)
+        summary = pipeline.run(spark, str(tmp_path / "src"), str(tmp_path / "store"), only_changed=True)
+        assert summary["parsed"] <= 2
+        pipeline.run(spark, str(tmp_path / "src"), str(tmp_path / f"full{k}"))
+        assert graph_rows(spark, tmp_path / "store") == graph_rows(spark, tmp_path / f"full{k}")
+    assert GraphStore(spark, str(tmp_path / "store")).read("errors").count() == 0
+
+
 NODE = {"usr": "u1", "name": "f", "fqn": "f", "file": "a.cpp", "line": 1, "language": "cpp", "kind": "function", "parent_fqn": "A"}
 
 
