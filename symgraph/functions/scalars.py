@@ -105,7 +105,7 @@ def short_number(n) -> Column:
     def scaled(unit: int, letter: str) -> Column:
         # format_number rounds the exact value with ties to even; the only ties are at a quarter, where it goes down, and at three quarters
         tie = (n % unit) == unit // 4
-        return F.concat(F.when(tie, F.concat(F.floor(n / unit).cast("string"), F.lit(".3"))).otherwise(F.format_number(n / float(unit), "0.0")), F.lit(letter))
+        return F.concat(F.when(tie, F.concat(F.floor(n / unit).cast("string"), F.lit(".3"))).otherwise(F.call_function("format_number", n / float(unit), F.lit("0.0"))), F.lit(letter))
 
     return F.when(n >= 1_000_000, scaled(1_000_000, "M")).when(n >= 1000, scaled(1000, "K")).otherwise(n.cast("string"))
 

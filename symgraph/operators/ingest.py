@@ -79,6 +79,11 @@ def ingest_totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.groupBy(F.col("label").alias("what")).agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.col("rel").alias("what")).agg(F.count("*").alias("n")))
 
 
+def diagnostics_histogram(diagnostics: DataFrame) -> DataFrame:
+    """(severity, n) of what readers passed over."""
+    return diagnostics.groupBy("severity").agg(F.count("*").alias("n"))
+
+
 class GraphStore:
     """Versioned node and edge tables in one folder."""
 

@@ -406,4 +406,4 @@ def short_numbers(g):
 
 @query("SELECT event_type AS severity, count(*) AS n FROM events GROUP BY 1", prelude=False)
 def diagnostics_histogram(g):
-    return g.table("events").groupBy(F.col("event_type").alias("severity")).agg(F.count("*").alias("n"))
+    return ingest.diagnostics_histogram(g.table("events").withColumnRenamed("event_type", "severity"))

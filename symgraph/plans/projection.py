@@ -67,7 +67,10 @@ class Projection:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(text, **{t: self.table(t) for t in _TABLES if "{" + t + "}" in text})
+        # braces are for the tables alone
+        parts = re.split(rf"(\{{(?:{'|'.join(_TABLES)})\}})", text)
+        text = "".join(p if k % 2 else p.replace("{", "{{").replace("}", "}}") for k, p in enumerate(parts))
+        return self.spark.sql(text, **{t: self.table(t) for t in _TABLES if "{" + t + "}" in parts})
 
     def nodes(self, *homes: str) -> DataFrame:
         return reduce(DataFrame.unionByName, [self.sql(_NODE_PARTS[h]) for h in homes or _NODE_PARTS])

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from symgraph.functions.scalars import extension
 
 # File name extensions by language; C++ comes first.
-CPP_EXTENSIONS = (".cpp", ".cc", ".cxx", ".c", ".hpp", ".h", ".hxx")
+CPP_EXTENSIONS = (".c", ".cc", ".cpp", ".cxx", ".h", ".hpp", ".hxx")
 JAVA_EXTENSIONS = (".java",)
 
 
 def discover(spark: SparkSession, root: str, languages: tuple[str, ...] = ("cpp", "java")) -> DataFrame:
     """(path, language, content) of the sources below ``root``; extensions in any case. Columns not asked for are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return sources_of(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), languages)
+
+
+def sources_of(files: DataFrame, languages: tuple[str, ...] = ("cpp", "java")) -> DataFrame:
+    """(path, language, content) of those of some files (path, content) that are sources."""
     kind = F.when(extension("path").isin(*CPP_EXTENSIONS), "cpp").when(extension("path").isin(*JAVA_EXTENSIONS), "java")
     plain = F.regexp_replace("path", "^file:/+", "/")
     return files.withColumn("language", kind).where(F.col("language").isin(*languages)).select(plain.alias("path"), "language", "content")

@@ -87,3 +87,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_lines(lines: DataFrame, name: str) -> str:
+    """The path of text files in the shared folder that hold the lines of a table's one column."""
+    spark = lines.sparkSession
+    folder = (_folders.get(spark.sparkContext.applicationId) or _open(spark))[-1]
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return path

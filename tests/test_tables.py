@@ -53,3 +53,11 @@ def test_line_sources(spark, tmp_path):
     (tmp_path / "bp/Android.bp").write_text('cc {\n  include_dirs: [\n "a", "b"],\n cflags: ["-DX"],\n}')
     found = files.blueprint_values(spark, str(tmp_path / "bp"), "include_dirs", "cflags")
     assert sorted((r.property, r.value) for r in found.collect()) == [("cflags", "-DX"), ("include_dirs", "a"), ("include_dirs", "b")]
+
+
+def test_short_numbers_round_the_exact_value(spark):
+    from symgraph.functions.scalars import short_number
+
+    shown = {0: "0", 999: "999", 1000: "1.0K", 1150: "1.1K", 1250: "1.3K", 2250: "2.3K", 6350: "6.3K", 1750: "1.8K", 999950: "1000.0K", 999949: "999.9K", 2250000: "2.3M", 1250000: "1.3M", 1000000: "1.0M", 1050: "1.1K", 8750: "8.8K"}
+    got = spark.createDataFrame([(n,) for n in shown], "n long").select("n", short_number("n").alias("s")).collect()
+    assert {r.n: r.s for r in got} == shown
