@@ -76,23 +76,25 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    folder = (_folders.get(spark.sparkContext.applicationId) or _open(spark))[-1]
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back.
 
     The files give later passes column pruning and a row order that does not
     change when a task is repeated.
     """
-    spark = df.sparkSession
-    folder = (_folders.get(spark.sparkContext.applicationId) or _open(spark))[-1]
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def stored_lines(lines: DataFrame, name: str) -> str:
     """The path of text files in the shared folder that hold the lines of a table's one column."""
-    spark = lines.sparkSession
-    folder = (_folders.get(spark.sparkContext.applicationId) or _open(spark))[-1]
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = new_path(lines.sparkSession, name)
     lines.write.text(path)
     return path
