@@ -36,20 +36,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
 #: A random-looking odd number for each byte value.
 _BYTE = _mix(np.arange(1, 257, dtype=_U64) * _U64(0x2545F4914F6CDD1D)) | _U64(1)
 
-_powers = np.ones(1, dtype=_U64)
-_inverses = np.ones(1, dtype=_U64)
+#: A second, 31-bit polynomial modulo a prime: modulo 2**64 alone there are known words with one hash under any base.
+_PRIME = (1 << 31) - 1
+_SMALL_BASE = 1_367_130_551
+_SMALL_INVERSE = pow(_SMALL_BASE, -1, _PRIME)
 
+_cached: list[np.ndarray] = []
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, up to ``n`` at least."""
-    global _powers, _inverses
-    if len(_powers) < n:
+
+def _modular(base: int, size: int) -> np.ndarray:
+    out, n = np.ones(size, dtype=_U64), 1
+    while n < size:
+        m = min(n, size - n)
+        out[n : n + m] = out[:m] * _U64(pow(base, n, _PRIME)) % _U64(_PRIME)
+        n += m
+    return out
+
+
+def _tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, and of the small ones modulo the prime, up to ``n`` at least."""
+    if not _cached or len(_cached[0]) < n:
         size = max(n, SLICE_BYTES + 1)
-        for name, base in (("_powers", _BASE), ("_inverses", _BASE_INVERSE)):
+        tables = []
+        for base in (_BASE, _BASE_INVERSE):
             table = np.full(size, base, dtype=_U64)
             table[0] = 1
-            globals()[name] = np.cumprod(table, dtype=_U64)
-    return _powers, _inverses
+            tables.append(np.cumprod(table, dtype=_U64))
+        _cached[:] = [*tables, _modular(_SMALL_BASE, size).astype(np.uint32), _modular(_SMALL_INVERSE, size).astype(np.uint32)]
+    return _cached
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -112,17 +126,24 @@ class Texts:
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    powers, _ = _tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=_U64)
-    np.cumsum(_BYTE[data] * powers[: len(data)], out=sums[1:])
+    """Two rows of sums, one for each polynomial."""
+    powers, _, small, _ = _tables(len(data) + 1)
+    sums = np.zeros((2, len(data) + 1), dtype=_U64)
+    np.cumsum(_BYTE[data] * powers[: len(data)], out=sums[0, 1:])
+    for at in range(0, len(data), 1 << 23):  # 2**40 at most each, so the sums of a part fit
+        part = slice(at, at + (1 << 23))
+        own = np.cumsum((data[part].astype(_U64) + _U64(1)) * small[: len(data)][part], dtype=_U64)
+        sums[1, 1:][part] = own if not at else own + sums[1, at] % _U64(_PRIME)
     return sums
 
 
 def hashes(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes; equal bytes give equal hashes wherever they stand."""
-    _, inverses = _tables(len(sums))
-    out = (sums[stops] - sums[starts]) * inverses[starts]
-    out += (stops - starts).astype(_U64) * _U64(0xD6E8FEB86659FD93)
+    _, inverses, _, small = _tables(sums.shape[1])
+    prime = _U64(_PRIME)
+    out = (sums[0, stops] - sums[0, starts]) * inverses[starts]
+    second = (sums[1, stops] + (prime - sums[1, starts] % prime)) % prime * small[starts] % prime
+    out += (stops - starts).astype(_U64) * _U64(0xD6E8FEB86659FD93) + second * _U64(0xA0761D6478BD642F)
     return _mix(out)
 
 

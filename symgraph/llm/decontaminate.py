@@ -29,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm.bytescan import Texts, byte_set, hashes, lowered, prefix_sums, slices
+from symgraph.llm.bytescan import Texts, byte_set, hashes, lowered, prefix_sums, ragged, slices
 from symgraph.storage import stored
 
 #: Word bytes once A-Z are lowered: digits, a-z and everything beyond ASCII.
@@ -43,7 +43,7 @@ GAP = 64
 
 #: Bytes of text in a segment, and bytes of benchmark text searched at a time.
 SEGMENT_BYTES = 2 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 _SEGMENT = "n_words array<int>, terms binary, counts binary, postings binary"
 
@@ -97,28 +97,38 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 class Windows:
-    """The distinct windows of some items: rows of term numbers (-1: no term), and the items of each."""
+    """The distinct windows of some items: rows of term numbers (-1: no term), and the items of each; arrays throughout, some 60 bytes a window."""
 
     def __init__(self, items: list[tuple[object, str | None]], size: int):
         terms, at = terms_of(Texts.of_list([text for _, text in items]))
         self.vocabulary, numbers = np.unique(terms, return_inverse=True)
-        owners: dict[tuple, set] = defaultdict(set)
-        for k, (item, _) in enumerate(items):
-            own = tuple(numbers[at[k] : at[k + 1]].tolist())
-            for i in range(max(1, len(own) - size + 1) if own else 0):
-                owners[own[i : i + size]].add(item)
-        self.rows = np.full((len(owners), size), -1, np.int64)
-        for k, window in enumerate(owners):
-            self.rows[k, : len(window)] = window
-        self.lengths = (self.rows >= 0).sum(axis=1)
-        self.items = [sorted((str(x) for x in own if x is not None)) for own in owners.values()]
-        self.rarest_first = np.argsort(self.rows, axis=1)
+        numbers = np.append(numbers, -1).astype(np.int32)
+        n = np.diff(at)
+        counts = np.where(n > 0, np.maximum(1, n - size + 1), 0)
+        owner = np.repeat(np.arange(len(n), dtype=np.int32), counts)
+        begins = ragged(at[:-1], counts)
+        lengths = np.minimum(n, size)[owner]
+        rows = np.empty((len(begins), size), np.int32)
+        for k in range(size):
+            rows[:, k] = numbers[np.where(k < lengths, np.minimum(begins + k, len(numbers) - 1), -1)]
+        _, first, of = np.unique(np.ascontiguousarray(rows).view(f"V{4 * size}").ravel(), return_index=True, return_inverse=True)
+        self.rows, self.lengths = rows[first], lengths[first]
+        pairs = np.unique(of.astype(np.int64) * max(len(n), 1) + owner)
+        self.item_of = (pairs % max(len(n), 1)).astype(np.int32)
+        self.items_at = np.searchsorted(pairs // max(len(n), 1), np.arange(len(first) + 1))
+        self.names = [None if item is None else str(item) for item, _ in items]
+        self.rarest_first = np.argsort(self.rows, axis=1).astype(np.int8)
+
+    def items(self, k: int) -> list[str]:
+        """The ids of the items that have a window."""
+        own = (self.names[i] for i in self.item_of[self.items_at[k] : self.items_at[k + 1]].tolist())
+        return [x for x in own if x is not None]
 
     def order_by(self, frequency: np.ndarray) -> None:
         """From now on a window's terms are taken from the rarest in the whole corpus on."""
         if len(self.rows):
             known = np.where(self.rows >= 0, frequency[self.rows], np.iinfo(np.int64).max)
-            self.rarest_first = np.argsort(known, axis=1, kind="stable")
+            self.rarest_first = np.argsort(known, axis=1, kind="stable").astype(np.int8)
 
 
 def _lookup(vocabulary: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +145,7 @@ def _search(windows: Windows, terms: np.ndarray, counts: np.ndarray, postings: b
     begin, length = _lookup(windows.vocabulary, terms, counts)
     if not len(windows.rows):
         return
-    present = np.where(windows.rows >= 0, length[windows.rows] > 0, True).all(axis=1)
+    present = np.append(length > 0, True)[windows.rows].all(axis=1)
     if not present.any():
         return
     positions = _unpacked(postings)
@@ -205,7 +215,7 @@ def _block_matches(index: DataFrame, windows: Windows, slop: int) -> DataFrame:
                     # a near match may be placed up to the slop before its document
                     for to, starts in ((items, exact), (near_items, near + slop)):
                         for doc in np.unique(np.searchsorted(begins, starts, side="right") - 1).tolist():
-                            to[doc].update(w.items[k])
+                            to[doc].update(w.items(k))
                 hit = np.cumsum(cover) > 0
                 edge = np.diff(hit.astype(np.int8), prepend=0)
                 starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -224,14 +234,16 @@ def _block_matches(index: DataFrame, windows: Windows, slop: int) -> DataFrame:
     return index.select("segment", "ids", "n_words", "terms", "counts", "postings").mapInArrow(match, f"segment long, row long, doc {kind}, {_MATCHES}")
 
 
-def _merged(spans: list[dict]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for start, stop in sorted((s["start"], s["stop"]) for s in spans):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], stop)
-        else:
-            out.append([start, stop])
-    return [(a, b) for a, b in out]
+def _merged(spans) -> Column:
+    """Disjoint runs of the words that sorted spans cover."""
+    empty = F.array().cast("array<struct<start:int,stop:int>>")
+
+    def add(done, span):
+        last = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], span["stop"]).alias("stop"))))
+        return F.when((F.size(done) > 0) & (span["start"] <= F.get(done, F.size(done) - 1)["stop"]), longer).otherwise(F.concat(done, F.array(span)))
+
+    return F.aggregate(F.array_sort(spans), empty, add)
 
 
 def find_contamination(
@@ -263,9 +275,8 @@ def find_contamination(
         every = parts[0]
         for part in parts[1:]:
             every = every.unionByName(part)
-        runs = F.udf(lambda spans: [{"start": a, "stop": b} for a, b in _merged(spans)], "array<struct<start:int,stop:int>>")
         found = every.groupBy("segment", "row").agg(
-            F.first("doc").alias("doc"), F.first("n_words").alias("n_words"), runs(F.flatten(F.collect_list("hits"))).alias("hits"),
+            F.first("doc").alias("doc"), F.first("n_words").alias("n_words"), _merged(F.flatten(F.collect_list("hits"))).alias("hits"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"),
         )
     return found.select(F.col("doc").alias(id_col), "n_words", "hits", "items", "near_items")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from symgraph.llm import decontaminate, embedding_dedup, html_density, line_dedup, packing, quality, secret_scan, simhash, token_counts, toxicity
 from symgraph.llm.batches import bound_batches
 from symgraph.llm.tokens import public_tokenizer
-from symgraph.storage import stored
+from symgraph.storage import new_path, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +21,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, end = _table(spark, sf_dir, "documents"), 50256
-    streams = stored(token_counts.flat_streams(docs, public_tokenizer(), end), "streams")
-    return token_counts.document_token_counts(docs, streams, end)
+    end, folder = 50256, new_path(spark, "flat")
+    order = stored(token_counts.write_flat_files(_table(spark, sf_dir, "documents"), public_tokenizer(), end, folder), "order")
+    if order.isEmpty():  # no files to read
+        return order.select("doc_id", F.lit(0).cast("long").alias("n_tokens"))
+    files = token_counts.flat_files(spark, folder).join(order.select("stream").distinct(), "stream", "left_semi")
+    return token_counts.document_token_counts(order, token_counts.read_flat_files(files), end)
 
 
 def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

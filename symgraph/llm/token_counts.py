@@ -16,11 +16,11 @@ empty stream has no documents; repeated documents are each counted.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,54 +31,66 @@ BLOCK_TOKENS = 1 << 19
 GROUP_BLOCKS = 1024
 
 
-def flat_streams(docs: DataFrame, tokenizer: str, separator: int, id_col: str = "doc_id", text_col: str = "text", dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(stream, block, tokens binary, ids): the token stream of each task in blocks; ``ids`` names the documents that end in the block, for a reader who wants them."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _file_system(path: str):
+    from pyarrow import fs
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, block, held, parts = TaskContext.get().partitionId(), 0, 0, []
-        ids: list[tuple[int, object]] = []  # (where the document's separator stands in the part held, its id)
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path)
 
-        def out(tokens: np.ndarray, own: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([stream], pa.int64()), pa.array([block], pa.int64()), pa.array([tokens.astype(dtype).tobytes()], pa.binary()), pa.array([own], pa.list_(id_type))], ["stream", "block", "tokens", "ids"])
 
-        for batch in batches:
-            id_type = batch.column(0).type
-            for doc, tokens in zip(batch.column(0).to_pylist(), token_ids(batch.column(1), tokenizer, separator), strict=True):
-                parts.append(tokens)
-                held += len(tokens)
-                ids.append((held - 1, doc))
-                if held >= block_tokens:
-                    every = np.concatenate(parts)
-                    while held >= block_tokens:
-                        yield out(every[:block_tokens], [d for at, d in ids if at < block_tokens])
-                        ids = [(at - block_tokens, d) for at, d in ids if at >= block_tokens]
-                        every, held, block = every[block_tokens:], held - block_tokens, block + 1
-                    parts = [every]
-        if held:
-            yield out(np.concatenate(parts), [d for _, d in ids])
-
-    return docs.select(id_col, docs[text_col].cast("string").alias("__text")).mapInArrow(write, f"stream long, block long, tokens binary, ids array<{kind}>")
-
-
-def read_flat_files(spark: SparkSession, path: str, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(stream, block, tokens) of flat token files, one stream for each file; blocks are read by position, so one large file is many tasks' work."""
+def write_flat_files(docs: DataFrame, tokenizer: str, separator: int, folder: str, id_col: str = "doc_id", text_col: str = "text", dtype: str = "<u2") -> DataFrame:
+    """(stream, ordinal, id): the order of the documents in the flat token files that this writes to ``folder``, one for each task that has rows.
+
+    The files hold ids alone.  A file that a failed attempt has left is in no
+    row of a stored result.  Ids that do not fit ``dtype`` are an error.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    most = np.iinfo(dtype).max
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, at, out = uuid.uuid4().hex, 0, None
+        try:
+            for batch in batches:
+                if out is None:
+                    system, inner = _file_system(folder)
+                    system.create_dir(inner)
+                    out = system.open_output_stream(f"{inner}/{name}")
+                for tokens in token_ids(batch.column(1), tokenizer, separator):
+                    if tokens.max() > most:
+                        raise ValueError(f"token id {tokens.max()} does not fit {dtype}")
+                    out.write(tokens.astype(dtype).tobytes())
+                ordinals = pa.array(np.arange(at, at + batch.num_rows))
+                at += batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([name] * batch.num_rows, pa.string()), ordinals, batch.column(0)], ["stream", "ordinal", id_col])
+        finally:
+            if out is not None:
+                out.close()
+
+    return docs.select(id_col, docs[text_col].cast("string").alias("__text")).mapInArrow(write, f"stream string, ordinal long, `{id_col}` {kind}")
+
+
+def flat_files(spark: SparkSession, path: str) -> DataFrame:
+    """(stream, path, length) of the flat token files below a folder; the file name, which must be unique there, is the stream."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length > 0")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("stream"), "path", "length")
+
+
+def read_flat_files(files: DataFrame, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(stream, block, tokens) of ``flat_files``; blocks are read by position, so one large file is many tasks' work."""
     width = np.dtype(dtype).itemsize
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length > 0").select("path", "length")
-    ranges = files.select("path", F.xxhash64("path").alias("stream"), F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / (width * block_tokens)))).alias("block"))
+    ranges = files.select("path", "stream", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / (width * block_tokens)))).alias("block"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             for name, stream, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                system, inner = fs.FileSystem.from_uri(name)
+                system, inner = _file_system(name)
                 with system.open_input_file(inner) as f:
                     f.seek(block * width * block_tokens)
                     data = f.read(width * block_tokens)
                 yield pa.RecordBatch.from_arrays([pa.array([stream]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], ["stream", "block", "tokens"])
 
-    return ranges.repartition("stream", "block").mapInArrow(read, "stream long, block long, tokens binary")
+    return ranges.repartition("stream", "block").mapInArrow(read, "stream string, block long, tokens binary")
 
 
 def count_tokens(blocks: DataFrame, separator: int, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -89,15 +101,17 @@ def count_tokens(blocks: DataFrame, separator: int, dtype: str = "<u2", block_to
     which block closes the document.
     """
 
+    kind = blocks.schema["stream"].dataType.simpleString()
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for stream, block, data in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 tokens = np.frombuffer(data.as_buffer(), dtype)
                 at = np.flatnonzero(tokens == separator) + block.as_py() * block_tokens
-                columns = [pa.array([stream.as_py()], pa.int64()), pa.array([block.as_py()], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([at], pa.list_(pa.int64()))]
+                columns = [pa.array([stream.as_py()]), pa.array([block.as_py()], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([at], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["stream", "block", "n", "at"])
 
-    found = blocks.select("stream", "block", "tokens").mapInArrow(search, "stream long, block long, n long, at array<long>")
+    found = blocks.select("stream", "block", "tokens").mapInArrow(search, f"stream {kind}, block long, n long, at array<long>")
     found = found.withColumns({"group": F.floor(F.col("block") / GROUP_BLOCKS), "last": F.element_at(F.when(F.size("at") > 0, F.col("at")), -1), "seps": F.size("at").cast("long"), "stop": F.col("block") * block_tokens + F.col("n")})
 
     def before(window, last: str, seps: str) -> dict:
@@ -119,7 +133,7 @@ def count_tokens(blocks: DataFrame, separator: int, dtype: str = "<u2", block_to
     return closed.unionByName(still_open)
 
 
-def document_token_counts(docs: DataFrame, streams: DataFrame, separator: int, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens) of the documents of ``flat_streams``, by the separator scan."""
-    names = streams.select("stream", "block", F.posexplode("ids").alias("nth", id_col))
-    return names.join(count_tokens(streams, separator), ["stream", "block", "nth"]).select(id_col, "n_tokens")
+def document_token_counts(order: DataFrame, blocks: DataFrame, separator: int, dtype: str = "<u2") -> DataFrame:
+    """``order`` (stream, ordinal, ...) with n_tokens in place of stream and ordinal, by the separator scan of the files' blocks."""
+    counts = count_tokens(blocks, separator, dtype).select("stream", "ordinal", "n_tokens")
+    return order.join(counts, ["stream", "ordinal"]).drop("stream", "ordinal")

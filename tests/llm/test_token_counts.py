@@ -33,7 +33,7 @@ def test_flat_files(spark, tmp_path):
     tokens = np.array([1, 2, 9, 9, 3, 4, 5, 9, 6] * 50, "<u2")
     tokens.tofile(tmp_path / "a.bin")
     (tmp_path / "empty.bin").touch()
-    blocks = token_counts.read_flat_files(spark, str(tmp_path), block_tokens=16)
+    blocks = token_counts.read_flat_files(token_counts.flat_files(spark, str(tmp_path)), block_tokens=16)
     got = [r.n_tokens for r in token_counts.count_tokens(blocks, 9, block_tokens=16).orderBy("ordinal").collect()]
     assert got == [2, 0, 3] + [3, 0, 3] * 49 + [1]
 
@@ -45,3 +45,21 @@ def test_query_equals_brute_force(spark, tmp_path, monkeypatch):
     tokenizer.encode_special_tokens = True
     got = {r.doc_id: r.n_tokens for r in op2_token_counts(spark, str(tmp_path)).collect()}
     assert got == {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_files_hold_ids_alone_and_ids_must_fit(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some words"), (None, "others"), (1, None)], "doc_id long, text string").repartition(1)
+    order = token_counts.write_flat_files(docs, public_tokenizer(), 50256, str(tmp_path / "flat")).collect()
+    (name,) = {r.stream for r in order}
+    library = Tokenizer.from_file(public_tokenizer())
+    want = {text: [*library.encode(text or "").ids, 50256] for text in ("some words", "others", None)}
+    tokens = np.fromfile(tmp_path / "flat" / name, "<u2").tolist()
+    assert len(tokens) == sum(map(len, want.values())) and [r.ordinal for r in order] == [0, 1, 2]
+    with pytest.raises(Exception, match="does not fit"):
+        token_counts.write_flat_files(docs, public_tokenizer(), 70000, str(tmp_path / "small")).collect()
+    assert len(token_counts.write_flat_files(docs, public_tokenizer(), 70000, str(tmp_path / "wide"), dtype="<u4").collect()) == 3
+
+
+def test_query_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert op2_token_counts(spark, str(tmp_path)).collect() == []

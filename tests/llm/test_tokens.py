@@ -31,3 +31,30 @@ def test_a_full_table_starts_anew(monkeypatch):
         (got,) = token_ids(pa.array([text]), path, 0)
         assert got.tolist() == library.encode(text).ids + [0]
     tokens._encoder.cache_clear()
+
+
+def thue_morse(letters):
+    """Two words of 1,024 letters that every polynomial modulo 2**64 takes for one."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+def test_words_with_one_polynomial_hash_are_told_apart():
+    from symgraph.llm.bytescan import Texts
+    from symgraph.llm.decontaminate import terms_of
+
+    words = thue_morse("ab")
+    assert len(set(terms_of(Texts.of_list([*words, "x " + words[0]]))[0].tolist())) == 3
+    library = Tokenizer.from_file(public_tokenizer())
+    assert [x.tolist() for x in token_ids(pa.array([*words, words[0]]), public_tokenizer(), 0)] == [[*library.encode(w).ids, 0] for w in (*words, words[0])]
+
+
+def test_hashes_are_the_same_wherever_a_word_stands():
+    import numpy as np
+
+    from symgraph.llm.bytescan import hashes, prefix_sums
+
+    word = b"a word of some bytes"
+    for size in (0, 1, 1 << 20, (1 << 23) + 5, (1 << 24) - 7):
+        data = np.frombuffer(b"\xff" * size + word, np.uint8)
+        assert hashes(prefix_sums(data), np.array([size]), np.array([len(data)]))[0] == hashes(prefix_sums(np.frombuffer(word, np.uint8)), np.array([0]), np.array([len(word)]))[0]
