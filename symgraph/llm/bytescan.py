@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text looked at together; bounds a task's memory (a longer single text is taken alone).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

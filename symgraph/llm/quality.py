@@ -211,9 +211,9 @@ class Network:
 class QualityModel:
     """Word vectors and network; of a fixed size, so it is sent to all tasks."""
 
-    def __init__(self, vectors: np.ndarray, weights: np.ndarray, texts: list[str], y: np.ndarray):
+    def __init__(self, vectors: np.ndarray, weights: np.ndarray, texts: pa.Array | list[str], y: np.ndarray):
         self.vectors, self.weights = vectors, weights
-        self.network = Network(self._columns(pa.array(texts, pa.large_string())), y)
+        self.network = Network(self._columns(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())), y)
 
     def _columns(self, texts: pa.Array) -> np.ndarray:
         parts = [document_columns(Texts.of(texts.slice(lo, hi - lo)), self.vectors, self.weights) for lo, hi in slices(texts)]
@@ -227,4 +227,4 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     """A model with word vectors of all ``docs`` and labels learnt from those that are not held out."""
     vectors, weights = word_vectors(docs, text_col)
     sample = labelled_sample(docs, labels, label, remainder(id_col, modulus) != held_out, id_col, text_col, rows)
-    return QualityModel(vectors, weights, sample["text"].tolist(), sample["y"].to_numpy(np.int64))
+    return QualityModel(vectors, weights, *sample)

@@ -329,16 +329,14 @@ class _Tally:
         self.docs += np.bincount(kind, minlength=2 * FOLDS).reshape(2, FOLDS)
 
     def weights(self, without: int | None = None) -> np.ndarray:
-        """The log rate ratio of each feature that significantly more of the toxic documents, but for a fold, have; 0 for the others."""
+        """The log rate ratio of each feature that significantly more of the toxic documents, but for a fold, have; 0 for the others, and one more 0."""
         folds = [f for f in range(FOLDS) if f != without]
         times, have = (x[:, folds].sum(1) for x in (self.times, self.have))
         words, docs = (np.maximum(1, x[:, folds].sum(1)) for x in (self.words, self.docs))
         share = [(have[c] + 0.5) / (docs[c] + 1) for c in (0, 1)]
         z = (share[1] - share[0]) / np.sqrt((have[0] + have[1] + 1) / docs.sum() * (1 / docs[0] + 1 / docs[1]))
         ratio = np.log((times[1] + 0.5 * words[1] / words[0]) / words[1]) - np.log((times[0] + 0.5) / words[0])
-        out = np.zeros(1 << _BITS, np.float32)
-        out[self.features] = np.where((have[1] >= 2) & (z > 3) & (ratio > 0.7), ratio, 0.0)
-        return out
+        return np.append(np.where((have[1] >= 2) & (z > 3) & (ratio > 0.7), ratio, 0.0), 0.0).astype(np.float32)
 
 
 def _document_columns(n: np.ndarray, doc: np.ndarray, number: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -357,9 +355,9 @@ def _document_columns(n: np.ndarray, doc: np.ndarray, number: np.ndarray, weight
 class ToxicityModel:
     """Restorer, word weights and calibrated regression; small and of a fixed size, so it is sent to all tasks."""
 
-    def __init__(self, restorer: Restorer, texts: list[str], y: np.ndarray):
+    def __init__(self, restorer: Restorer, texts: pa.Array | list[str], y: np.ndarray):
         self.restorer = restorer
-        column = restorer.restored(pa.array(texts, pa.large_string()))
+        column = restorer.restored(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
         fold = np.zeros(len(y), np.int64)
         for label in (0, 1):  # each label is dealt over the folds in turn
             fold[y == label] = np.arange((y == label).sum()) % FOLDS
@@ -376,9 +374,10 @@ class ToxicityModel:
         for lo, found in parts():
             own = fold[lo : lo + len(found[0])]
             for f in np.unique(own).tolist():
-                columns[lo : lo + len(own)][own == f] = _document_columns(*found, crossed[f])[own == f]
+                columns[lo : lo + len(own)][own == f] = _document_columns(*found[:2], tally.place[found[2]], crossed[f])[own == f]
         self.regression = CrossFitted(columns, y, fold)
-        self.weights = tally.weights()
+        self.weights = np.zeros(1 << _BITS, np.float32)
+        self.weights[tally.features] = tally.weights()[:-1]
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = []
@@ -392,7 +391,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     """A model with characters counted over all ``docs`` and labels learnt from those that are not held out."""
     restorer = Restorer(CharacterModel(count_characters(docs, text_col)))
     sample = labelled_sample(docs, labels, label, remainder(id_col, modulus) != held_out, id_col, text_col, rows)
-    return ToxicityModel(restorer, sample["text"].tolist(), sample["y"].to_numpy(np.int64))
+    return ToxicityModel(restorer, *sample)
 
 
 def with_scores(docs: DataFrame, model, text_col: str = "text", out: str = "score") -> DataFrame:

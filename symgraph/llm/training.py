@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +18,8 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, bytes_: int = TRAIN_BYTES) -> pd.DataFrame:
-    """(id, text, y) of at most ``rows`` labelled documents that ``keep`` (over the labels' columns), those first in the order of a hash of the id, until their texts have ``bytes_``.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, bytes_: int = TRAIN_BYTES) -> tuple[pa.Array, np.ndarray]:
+    """(texts, labels), by id, of at most ``rows`` labelled documents that ``keep`` (over the labels' columns), those first in the order of a hash of the id, until their texts have ``bytes_``.
 
     Labels other than 0 and 1 are none; a document labelled twice has its larger
     label; of several rows of one id the text with the least hash counts.
@@ -30,10 +30,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     found = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(chosen.select(F.col(id_col).alias("id"), F.col("__y").alias("y"))), "id")
     found = found.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "y")).alias("row"))
     found = stored(found.select("id", F.xxhash64("id").alias("place"), F.octet_length("row.text").alias("size"), "row.text", "row.y"), "sample")
-    sizes = found.select("place", "size").toPandas().sort_values("place", kind="stable")  # ``rows`` at most
-    last = sizes["place"][sizes["size"].cumsum() <= bytes_].max()
-    taken = found.where(F.col("place") <= F.lit(int(last) if last == last else -(1 << 63))).select("id", "text", "y").toPandas()
-    return taken.sort_values("id", kind="stable", ignore_index=True).rename(columns={"id": id_col})
+    sizes = found.select("place", "size").toArrow().sort_by("place")  # ``rows`` at most
+    fits = np.flatnonzero(np.cumsum(sizes["size"].to_numpy().astype(np.int64)) <= bytes_)
+    last = sizes["place"][int(fits[-1])].as_py() if len(fits) else -(1 << 63)
+    taken = found.where(F.col("place") <= F.lit(last)).select("id", "text", "y").toArrow().sort_by("id").combine_chunks()
+    texts = taken["text"].cast(pa.large_string())
+    return texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, taken["y"].to_numpy().astype(np.int64)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
