@@ -129,11 +129,18 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Two rows of sums, one for each polynomial."""
     powers, _, small, _ = _tables(len(data) + 1)
     sums = np.zeros((2, len(data) + 1), dtype=_U64)
-    np.cumsum(_BYTE[data] * powers[: len(data)], out=sums[0, 1:])
+    own = _BYTE[data]
+    own *= powers[: len(data)]
+    np.cumsum(own, out=sums[0, 1:])
     for at in range(0, len(data), 1 << 23):  # 2**40 at most each, so the sums of a part fit
         part = slice(at, at + (1 << 23))
-        own = np.cumsum((data[part].astype(_U64) + _U64(1)) * small[: len(data)][part], dtype=_U64)
-        sums[1, 1:][part] = own if not at else own + sums[1, at] % _U64(_PRIME)
+        own = data[part].astype(_U64)
+        own += _U64(1)
+        own *= small[: len(data)][part]
+        out = sums[1, 1:][part]
+        np.cumsum(own, out=out)
+        if at:
+            out += sums[1, at] % _U64(_PRIME)
     return sums
 
 
@@ -157,6 +164,25 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
         yield at, min(to, n)
         at = to
+    release()
+
+
+def _trimmer():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda pad: 0
+
+
+_trim = _trimmer()
+
+
+def release() -> None:
+    """Give memory that is free back to the system, so that a reused worker does not hold what an earlier stage needed."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

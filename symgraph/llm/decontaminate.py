@@ -1,7 +1,7 @@
 """Benchmark decontamination over a positional inverted index (operator 1).
 
-The training texts become a stored index, sharded by document: a segment is two
-megabytes of neighbouring documents, and holds for every term (a 64-bit
+The training texts become a stored index, sharded by document: a segment is one
+megabyte of neighbouring documents, and holds for every term (a 64-bit
 hash and its length stand for a word) the list of its positions.  Positions run
 through the segment with gaps between documents, so a phrase never crosses
 one.  Building it needs no shuffle, and a lost executor costs one segment.
@@ -42,7 +42,7 @@ _WORD = byte_set((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 GAP = 64
 
 #: Bytes of text in a segment, and bytes of benchmark text searched at a time.
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20
 
 _SEGMENT = "n_words array<int>, terms binary, counts binary, postings binary"
