@@ -101,15 +101,18 @@ def resolve_methods(calls: DataFrame, symbols: DataFrame, compat: bool = False)
     ``compat`` lets a name match any member whose qualified name has it after a
     dot, and gives empty signatures no count.
     """
-    keyed = with_keys(symbols)
-    if compat:
-        pairs = calls.join(keyed, (F.col("class_fqn") == F.col("parent_fqn")) & F.contains(F.lower("fqn"), F.lower(F.concat(F.lit("."), "name"))))
-        fits = arity_by_commas("signature") == F.col("arguments")
-    else:
-        pairs = calls.join(keyed, (F.col("class_fqn") == F.col("parent_fqn")) & (F.col("name") == F.col("simple_name")))
-        fits = F.col("arity") == F.col("arguments")
-    ranked = pairs.select("call_id", F.when(F.coalesce(fits, F.lit(False)), 1).otherwise(2).alias("prio"), F.lit(0).alias("pos"), "fqn", "usr")
-    return _best([ranked], "call_id")
+    # of methods that no question tells apart only the first can be an answer, and equal questions are asked once
+    member, count = (F.lower("fqn"), arity_by_commas("signature")) if compat else (F.col("simple_name"), F.col("arity"))
+    told = ["parent_fqn", "member", "count"]
+    methods = with_keys(symbols).withColumns({"member": member, "count": count}).groupBy(*told).agg(F.min(F.struct("fqn", "usr")).alias("first")).select(*told, "first.*")
+    question = ["class_fqn", "name", "arguments"]
+    asked = calls.select(*question).distinct()
+    named = F.contains("member", F.lower(F.concat(F.lit("."), "name"))) if compat else F.col("member") == F.col("name")
+    pairs = asked.join(methods, (F.col("class_fqn") == F.col("parent_fqn")) & named)
+    ranked = pairs.withColumn("prio", F.when(F.coalesce(F.col("count") == F.col("arguments"), F.lit(False)), 1).otherwise(2))
+    answers = ranked.groupBy(*question).agg(F.min(F.struct("prio", "fqn", "usr")).alias("a")).select(*question, "a.*")
+    same = (calls["class_fqn"] == answers["class_fqn"]) & (calls["name"] == answers["name"]) & calls["arguments"].eqNullSafe(answers["arguments"])
+    return _best([calls.join(answers, same).select("call_id", "prio", F.lit(0).alias("pos"), "fqn", "usr")], "call_id")
 
 
 def resolve_types(names: DataFrame, symbols: DataFrame) -> DataFrame:

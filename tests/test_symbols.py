@@ -1,6 +1,8 @@
 import random
 import sqlite3
 
+from pyspark.sql import functions as F
+
 from symgraph.operators import derive, symbols
 
 
@@ -26,6 +28,25 @@ def test_two_key_replace_equals_sqlite(spark):
         assert sorted(map(tuple, got.select("fqn", "usr", "seq").collect())) == want
 
 
+def most_joined(df):
+    """The most rows that a join in the executed plan of a DataFrame has given."""
+    plan, most = df._jdf.queryExecution(), 0
+    plan.toRdd().count()
+    nodes = [plan.executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            nodes.append(node.executedPlan())
+        elif "QueryStage" in name:
+            nodes.append(node.plan())
+        children = node.children()
+        nodes += [children.apply(k) for k in range(children.size())]
+        if "Join" in name:
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    return most
+
+
 SYMBOLS = [
     ("p.A", "A", "class", None, "p"), ("p.A.get(int)", "g1", "method", "int", "p.A"), ("p.A.get()", "g0", "method", "", "p.A"), ("p.A.getAll(int)", "ga", "method", "int", "p.A"),
     ("p.A.A(int)", "c1", "constructor", "int", "p.A"), ("q.B", "B", "class", None, "q"), ("q.B.run()", "r", "method", "", "q.B"), ("java.lang.String", "S", "class", None, "java.lang"),
@@ -44,6 +65,26 @@ def test_methods_by_arity_and_as_patterns(spark):
     assert loose == {1: "g0", 2: "g1", 3: "g0"}
 
 
+def many(spark, arguments):
+    n = 2000  # four million pairs
+    calls = spark.range(n).selectExpr("id AS call_id", "'p.A' AS class_fqn", "'get' AS name", f"cast({arguments} AS int) AS arguments")
+    methods = spark.range(n).selectExpr("concat('p.A.get(', if(id % 2 = 0, '', 'int'), ')') AS fqn", "concat('u', id) AS usr", "'method' AS kind", "'f' AS file", "1 AS line", "'java' AS language", "if(id % 2 = 0, '', 'int') AS signature", "'p.A' AS parent_fqn")
+    for compat in (False, True):
+        found = symbols.resolve_methods(calls, methods, compat=compat)
+        assert most_joined(found) <= n
+        yield {(r.arguments, r.usr, r.n) for r in found.join(calls, "call_id").groupBy("arguments", "usr").agg(F.count("*").alias("n")).collect()}
+
+
+def test_many_calls_of_one_name_are_not_paired_with_all_its_methods(spark):
+    assert list(many(spark, "id % 2")) == [{(0, "u0", 1000), (1, "u1", 1000)}] * 2
+
+
+def test_one_call_id_with_several_questions_has_one_answer(spark):
+    calls = spark.createDataFrame([(1, "p.A", "get", 7), (1, "p.A", "get", 1), (2, "p.A", "get", None), (None, "p.A", "get", 0), (None, "q.B", "run", 0)], "call_id int, class_fqn string, name string, arguments int")
+    got = {r.call_id: (r.usr, r.fqn) for r in symbols.resolve_methods(calls, table(spark)).collect()}
+    assert got == {1: ("g1", "p.A.get(int)"), 2: ("g0", "p.A.get()"), None: ("g0", "p.A.get()")}
+
+
 def test_calls_of_every_form(spark):
     cases = [
         (1, None, "get", 1, "p.A", False, "g1"), (2, "this", "get", 0, "p.A", False, "g0"), (3, "super", "get", 1, "q.B", False, "g1"), (4, "A", "get", 1, "q.B", False, "g1"), (5, None, "A", 1, "q.B", True, "c1"),
