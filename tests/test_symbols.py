@@ -79,6 +79,10 @@ def test_many_calls_of_one_name_are_not_paired_with_all_its_methods(spark):
     assert list(many(spark, "id % 2")) == [{(0, "u0", 1000), (1, "u1", 1000)}] * 2
 
 
+def test_many_calls_with_unknown_arguments_are_not_paired_with_all_methods(spark):
+    assert list(many(spark, "NULL")) == [{(None, "u0", 2000)}] * 2
+
+
 def test_one_call_id_with_several_questions_has_one_answer(spark):
     calls = spark.createDataFrame([(1, "p.A", "get", 7), (1, "p.A", "get", 1), (2, "p.A", "get", None), (None, "p.A", "get", 0), (None, "q.B", "run", 0)], "call_id int, class_fqn string, name string, arguments int")
     got = {r.call_id: (r.usr, r.fqn) for r in symbols.resolve_methods(calls, table(spark)).collect()}
