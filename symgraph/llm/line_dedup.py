@@ -16,16 +16,20 @@ nothing outside it, and those of a passage of 50 words or more cover all of its
 lines, so it goes as a whole, however it is cut into lines.  Chunks and runs are
 called pieces below; what goes are the lines of the repeated ones.
 
-A piece is known by a 64-bit hash of its bytes and by a 64-bit polynomial over
-the BLAKE2b digests of its lines, so each byte is digested once, however many
-pieces it is in.  Pieces are first counted by these, already added up within each slice of texts, with a partial
-aggregation that no frequent line can skew.  A bitmap of fixed size of the
-repeated hashes then lets the second scan send hardly more than the places of
-the repeated pieces; keys that have more than a bounded share of all pieces
-are dealt over many tasks.  Before a chunk goes, bytes are compared: each slice
-sends the bytes of a repeated chunk once, and only chunks whose bytes are the
-same everywhere count as repeated.  As runs overlap, their bytes would be many
-times the text; a run goes by its 128 bits.
+A first scan counts the 64-bit hashes of all pieces, already added up within
+each slice of texts.  A bitmap of fixed size of the repeated hashes then lets
+the second scan send hardly more than the places of the repeated pieces, with a
+second key: a 64-bit polynomial over the BLAKE2b digests of the lines, so each
+line is digested once, however many pieces it is in.  Sorted by both keys, each
+place meets the first one; for hashes that have more than a bounded share of all
+pieces an aggregation gives it, which no frequent line can skew.
+
+Before a piece goes, its bytes are compared, be it a chunk or a run.  Within a
+document that is done on the spot.  As pieces overlap, their bytes would be many
+times the text; so those pieces of a document that overlap, and whose first
+places stand in one document and as far apart, are joined to passages, and each
+document sends the bytes of its passages once.  A passage goes only if all
+documents that have it from one place have the bytes that stand there.
 
 Words are what blanks separate; of text in scripts without blanks (three-byte
 characters from U+3000 to U+DFFF) two characters count as a word.
@@ -46,7 +50,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,8 +66,8 @@ LONG_LINE, LEAST_WORDS = 50, 10
 _END_MASK = _U(1)
 #: The bitmap of repeated hashes; its size does not depend on the data. It goes to the driver in blocks of so many words.
 BITMAP_BITS, BLOCK_WORDS = 25, 1 << 14
-#: A key with more than this share of all pieces is hot, so there are no more than so many of them; it is dealt over this many parts.
-HOT_SHARE, HOT_PARTS = 4096, 64
+#: A hash with more than this share of all pieces is hot, so there are no more than so many of them.
+HOT_SHARE = 4096
 
 _STOP = byte_set((0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F))
 _BLANK = byte_set((0x09, 0x0D), (0x20, 0x20))
@@ -90,7 +94,7 @@ def blake(data: bytes) -> bytes:
 
 
 class _Chunks:
-    """Chunks of some texts: byte starts and stops, hash, words, and where each text's begin; where each text's lines begin; first and last line of each piece, chunks before runs."""
+    """Chunks of some texts: words, and where each text's begin; bytes of the lines, and where each text's begin; first and last line of each piece, chunks before runs."""
 
     def __init__(self, texts: Texts, hashes: Hash = hashes):
         data = texts.data
@@ -100,9 +104,8 @@ class _Chunks:
         self.line_at, self.line_starts, self.line_stops = at, first, last
         n = len(first)
         if not n:
-            self.starts = self.stops = np.zeros(0, np.int64)
-            self.hash, self.words, self.at = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-            self.piece_first = self.piece_last = self.run_starts = self.run_stops = np.zeros(0, np.int64)
+            self.words, self.at = np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+            self.piece_first = self.piece_last = np.zeros(0, np.int64)
             return
         word = ~_BLANK[data]
         word[1:] &= _BLANK[data[:-1]]
@@ -124,8 +127,6 @@ class _Chunks:
         ends[-1] = True
         end = np.flatnonzero(ends)
         begin = np.concatenate([[0], end[:-1] + 1])
-        self.starts, self.stops = first[begin], last[end]
-        self.hash = hashes(self.sums, self.starts, self.stops)
         total = np.concatenate([[0], np.cumsum(words)])
         self.words = total[end + 1] - total[begin]
         self.at = np.searchsorted(begin, at)
@@ -136,9 +137,7 @@ class _Chunks:
         # a run of one line is a chunk already
         on, up = np.flatnonzero((ahead < text_end) & (ahead > line)), np.flatnonzero((back >= text_first) & (back < line))
         run = np.unique(np.concatenate([on * n + ahead[on], back[up] * n + up]))
-        run_first, run_last = run // n, run % n
-        self.run_starts, self.run_stops = first[run_first], last[run_last]
-        self.piece_first, self.piece_last = np.concatenate([begin, run_first]), np.concatenate([end, run_last])
+        self.piece_first, self.piece_last = np.concatenate([begin, run // n]), np.concatenate([end, run % n])
 
     def checks(self, data: bytes, digest: Digest, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A polynomial over the digests of lines and the hashes of what stands between them, for each run of lines (first, last)."""
@@ -147,15 +146,16 @@ class _Chunks:
             return np.zeros(0, np.int64)
         powers, inverses = (t[: 2 * n] for t in _tables(2 * n)[:2])
         terms = np.zeros(2 * n, _U)
-        terms[::2] = np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(self.line_starts.tolist(), self.line_stops.tolist(), strict=True)]), _U)
+        asked = np.flatnonzero(np.cumsum(np.bincount(begin, minlength=n + 1) - np.bincount(end + 1, minlength=n + 1))[:n])
+        terms[2 * asked] = np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(self.line_starts[asked].tolist(), self.line_stops[asked].tolist(), strict=True)]), _U)
         terms[1:-1:2] = self.hashes(self.sums, self.line_stops[:-1], self.line_starts[1:])
         sums = np.zeros(2 * n + 1, _U)
         np.cumsum(terms * powers, out=sums[1:])
         return _mix((sums[2 * end + 1] - sums[2 * begin]) * inverses[2 * begin]).view(np.int64)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(piece, hash, first byte, last byte) of what may be repeated: chunks, for short ones the pairs with their neighbours, and runs."""
-        n = len(self.hash)
+        """(piece, hash, first line, last line) of what may be repeated: chunks, for short ones the pairs with their neighbours, and runs."""
+        n = len(self.words)
         text = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
         full = np.flatnonzero(self.words >= LEAST_WORDS)
         short = np.flatnonzero(self.words < LEAST_WORDS)
@@ -163,113 +163,130 @@ class _Chunks:
         left = left[(text[left] == text[left - 1]) & (self.words[left] + self.words[left - 1] >= LEAST_WORDS)]
         right = short[short < n - 1]
         right = right[(text[right] == text[right + 1]) & (self.words[right] + self.words[right + 1] >= LEAST_WORDS)]
-        run = np.arange(len(self.run_starts))
-        piece = np.concatenate([full, left, right, n + run])
-        starts = np.concatenate([self.starts[full], self.starts[left - 1], self.starts[right], self.run_starts])
-        stops = np.concatenate([self.stops[full], self.stops[left], self.stops[right + 1], self.run_stops])
+        run = np.arange(n, len(self.piece_first))
+        piece = np.concatenate([full, left, right, run])
+        first = self.piece_first[np.concatenate([full, left - 1, right, run])]
+        last = self.piece_last[np.concatenate([full, left, right + 1, run])]
         # what goes is part of the key: a pair that stands for its first chunk is not one for its second
-        kind = np.concatenate([np.zeros(len(full), _U), np.full(len(left), 1, _U), np.full(len(right), 2, _U), np.full(len(run), 3, _U)])
-        h = _mix(self.hashes(self.sums, starts, stops) + kind * _U(0xD1342543DE82EF95))
-        return piece, h, starts, stops
+        kind = np.repeat(np.arange(4, dtype=_U) * _U(0xD1342543DE82EF95), [len(full), len(left), len(right), len(run)])
+        return piece, _mix(self.hashes(self.sums, self.line_starts[first], self.line_stops[last]) + kind), first, last
 
 
-def _again(row: np.ndarray, piece: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether the same hash has stood before in the same row."""
-    order = np.lexsort((piece, h, row))
-    out = np.zeros(len(row), bool)
-    out[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
-    return out
+class _Places:
+    """The pieces of some rows whose hashes are in the bitmap: row, first and last line that go, bytes that are compared, hash, check, and whether the same bytes stood before in the row."""
 
-
-class _Pieces:
-    """The pieces of some rows that may be repeated: row, first and last line there, hash, check, whether the same stood before in the row, and where the bytes are."""
-
-    def __init__(self, texts: Texts, hashes: Hash, digest: Digest, keep: np.ndarray | None = None):
+    def __init__(self, texts: Texts, hashes: Hash, digest: Digest, keep: np.ndarray):
         found = _Chunks(texts, hashes)
-        piece, self.hash, self.starts, self.stops = found.keys()
+        piece, self.hash, first, last = found.keys()
+        place = (self.hash >> _U(64 - BITMAP_BITS)).astype(np.int64)
+        sent = np.flatnonzero((keep[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+        piece, self.hash, first, last = piece[sent], self.hash[sent], first[sent], last[sent]
         begin, end = found.piece_first[piece], found.piece_last[piece]
         self.row = np.searchsorted(found.line_at, begin, side="right") - 1
         self.begin, self.end = begin - found.line_at[self.row], end - found.line_at[self.row]
-        self.run = piece >= len(found.hash)
-        if keep is not None:
-            place = (self.hash >> _U(64 - BITMAP_BITS)).astype(np.int64)
-            sent = np.flatnonzero((keep[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
-            for name in ("row", "hash", "starts", "stops", "begin", "end", "run"):
-                setattr(self, name, getattr(self, name)[sent])
-            piece = piece[sent]
-        self.data = texts.data.tobytes()
-        self.check = found.checks(self.data, digest, begin if keep is None else begin[sent], end if keep is None else end[sent])
-        self.again = _again(self.row, piece, _mix(self.hash + _mix(self.check.view(_U).copy())))
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """An order by key, and where each key begins in it."""
-        order = np.lexsort((self.check, self.hash))
-        h, check = self.hash[order], self.check[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
-        return order, np.flatnonzero(new)
+        data = texts.data.tobytes()
+        self.check = found.checks(data, digest, first, last)
+        starts, stops = found.line_starts[first], found.line_stops[last]
+        self.start, self.stop = starts - texts.offsets[self.row], stops - texts.offsets[self.row]
+        order = np.lexsort((piece, self.check, self.hash, self.row))
+        again = np.ones(len(order), bool)
+        again[:1] = False
+        for x in (self.row, self.hash, self.check):
+            again[1:] &= x[order[1:]] == x[order[:-1]]
+        self.again = np.zeros(len(order), bool)
+        for at in np.flatnonzero(again).tolist():
+            k, before = order[at], order[at - 1]
+            self.again[k] = data[starts[k] : stops[k]] == data[starts[before] : stops[before]]
 
 
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == _U else x.astype(np.int64))
 
 
-def _count(source: DataFrame, kind: str, hashes: Hash, digest: Digest) -> DataFrame:
-    """(hash, check, first, last, within, n, named): of each slice of texts and key, the least and greatest id, whether it stands twice in a row, how many have it, and how many of those have an id."""
-    names = ["hash", "check", "first", "last", "within", "n", "named"]
+def _int(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.int32))
+
+
+def _count(source: DataFrame, hashes: Hash) -> DataFrame:
+    """(hash, n): of each slice of texts and hash, how many pieces have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch.column(2)):
-                part = batch.slice(lo, hi - lo)
-                found = _Pieces(Texts.of(part.column(2)), hashes, digest)
-                order, begins = found.keys()
-                if not len(begins):
-                    continue
-                ids = part.column(0)
-                ranked = pc.sort_indices(ids)  # nulls stand last
-                rank = np.empty(len(ids), np.int64)
-                rank[ranked.to_numpy()] = np.arange(len(ids))
-                known = len(ids) - ids.null_count
-                own = rank[found.row[order]]
-                low = np.minimum.reduceat(own, begins)
-                high = np.maximum.reduceat(np.where(own < known, own, -1), begins)
-                at = lambda x: ids.take(ranked.take(pa.array(x, pa.int64(), mask=(x < 0) | (x >= known))))
-                yield pa.RecordBatch.from_arrays([
-                    _long(found.hash[order][begins]), _long(found.check[order][begins]), at(low), at(high), pa.array(np.logical_or.reduceat(found.again[order], begins)),
-                    _long(np.diff(np.append(begins, len(order)))), _long(np.add.reduceat((own < known).astype(np.int64), begins)),
-                ], names)
+            for lo, hi in slices(batch.column(0)):
+                h, n = np.unique(_Chunks(Texts.of(batch.column(0).slice(lo, hi - lo)), hashes).keys()[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([_long(h), _int(n)], ["hash", "n"])
 
-    return source.mapInArrow(run, f"hash long, check long, first {kind}, last {kind}, within boolean, n long, named long")
+    return source.select("text").mapInArrow(run, "hash long, n int")
 
 
-def _places(source: DataFrame, kind: str, hashes: Hash, digest: Digest, keep) -> DataFrame:
-    """(id, print, begin, end, hash, check, again, run, bytes) of the pieces whose hashes are in the broadcast bitmap; bytes just at one place of each chunk in a slice."""
-    names = ["id", "print", "begin", "end", "hash", "check", "again", "run", "bytes"]
+def _places(source: DataFrame, kind: str, hashes: Hash, digest: Digest, keep, hot) -> DataFrame:
+    """(id, print, begin, end, start, stop, hash, check, hot, again) of the pieces whose hashes are in the broadcast bitmap; those that stand again in a row have had their bytes compared."""
+    names = ["id", "print", "begin", "end", "start", "stop", "hash", "check", "hot", "again"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch.column(2)):
                 part = batch.slice(lo, hi - lo)
-                found = _Pieces(Texts.of(part.column(2)), hashes, digest, keep.value)
-                order, begins = found.keys()
-                shown: list[bytes | None] = [None] * len(order)
-                sizes = np.diff(np.append(begins, len(order)))
-                chunk = ~found.run[order[begins]]
-                alone = order[begins[chunk & (sizes == 1)]]
-                for k, a, b in zip(alone.tolist(), found.starts[alone].tolist(), found.stops[alone].tolist(), strict=True):
-                    shown[k] = found.data[a:b]
-                several = chunk & (sizes > 1)
-                for a, size in zip(begins[several].tolist(), sizes[several].tolist(), strict=True):
-                    for span, k in {found.data[found.starts[k] : found.stops[k]]: k for k in order[a : a + size].tolist()}.items():  # one, unless keys clash
-                        shown[k] = span
+                found = _Places(Texts.of(part.column(2)), hashes, digest, keep.value)
                 rows = pa.array(found.row)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0).take(rows), part.column(1).take(rows), pa.array(found.begin.astype(np.int32)), pa.array(found.end.astype(np.int32)), _long(found.hash), _long(found.check),
-                    pa.array(found.again), pa.array(found.run), pa.array(shown, pa.binary()),
+                    part.column(0).take(rows), part.column(1).take(rows), _int(found.begin), _int(found.end), _int(found.start), _int(found.stop), _long(found.hash), _long(found.check),
+                    pa.array(np.isin(found.hash.view(np.int64), hot.value)), pa.array(found.again),
                 ], names)
 
-    return source.mapInArrow(run, f"id {kind}, print long, begin int, end int, hash long, check long, again boolean, run boolean, bytes binary")
+    return source.mapInArrow(run, f"id {kind}, print long, begin int, end int, start int, stop int, hash long, check long, hot boolean, again boolean")
+
+
+def _passages(later: DataFrame, kind: str) -> DataFrame:
+    """(id, print, start, first_id, first_print, first_start, length, gone): of places with their first places, the passages that overlapping ones as far from their first places join to, and the lines that go with each."""
+    names = ["id", "print", "start", "first_id", "first_print", "first_start", "length", "gone"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number = lambda name: batch.column(name).to_numpy()  # noqa: B023, E731
+            code = lambda name: batch.column(name).dictionary_encode().indices.fill_null(-1).to_numpy()  # noqa: B023, E731
+            begin, end, start, stop = (number(x).astype(np.int64) for x in ("begin", "end", "start", "stop"))
+            shift = number("first_start") - start
+            same = [code("id"), number("print"), code("first_id"), number("first_print"), shift]
+            order = np.lexsort((start, *same))
+            new = np.zeros(len(order), bool)
+            new[:1] = True
+            for x in same:
+                new[1:] |= x[order[1:]] != x[order[:-1]]
+            # the furthest stop so far of the same group: groups are moved apart
+            group = np.cumsum(new) << 32
+            far = np.maximum.accumulate(stop[order] + group)
+            new[1:] |= start[order[1:]] + group[1:] > far[:-1]
+            at = np.flatnonzero(new)
+            length = (far - group)[np.append(at[1:], len(order)) - 1] - start[order[at]]
+            passage, lines = np.cumsum(new) - 1, (begin << 32 | end)[order]
+            kept = np.lexsort((lines, passage))
+            kept = kept[np.append(True, (lines[kept[1:]] != lines[kept[:-1]]) | (passage[kept[1:]] != passage[kept[:-1]]))]
+            gone = pa.ListArray.from_arrays(_int(np.searchsorted(passage[kept], np.arange(len(at) + 1))), pa.array(lines[kept]))
+            rows = pa.array(order[at])
+            own = [batch.column(x).take(rows) for x in ("id", "print", "start", "first_id", "first_print", "first_start")]
+            yield pa.RecordBatch.from_arrays([*own, _int(length), gone], names)
+
+    return later.mapInArrow(run, f"id {kind}, print long, start int, first_id {kind}, first_print long, first_start int, length int, gone array<long>")
+
+
+def _cut(texts: DataFrame) -> DataFrame:
+    """(span, bytes) of texts (text, cuts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, cuts = Texts.of(batch.column(0)), batch.column(1)
+            data, found = own.data.tobytes(), cuts.flatten()
+            span, start, length = (x.to_numpy() for x in found.flatten())
+            row = np.repeat(np.arange(len(cuts)), cuts.value_lengths().to_numpy())
+            starts = own.offsets[row] + start
+            stops = np.minimum(starts + length, own.offsets[row + 1])
+            once = {(s, data[a:b]) for s, a, b in zip(span.tolist(), starts.tolist(), stops.tolist(), strict=True)}
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in once], pa.int64()), pa.array([x for _, x in once], pa.binary())], ["span", "bytes"])
+
+    return texts.mapInArrow(run, "span long, bytes binary")
 
 
 def _bitmap(repeated: DataFrame) -> np.ndarray:
@@ -295,30 +312,36 @@ def _bitmap(repeated: DataFrame) -> np.ndarray:
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes: Hash = hashes, digest: Digest = blake) -> DataFrame:
     """(id, print, pieces): first (upper 32 bits) and last lines of the pieces to remove, for each document that has any; print is xxhash64 of id and text.
 
-    ``hashes`` and ``digest`` may be any functions of the bytes; chunks of different bytes with equal keys remove nothing.
+    ``hashes`` and ``digest`` may be any functions of the bytes; pieces of different bytes with equal keys remove nothing.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("print"), text.alias("text"))
-    key = ["hash", "check"]
-    seen = _count(source, kind, hashes, digest).groupBy(*key).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("within").alias("within"), F.sum("n").alias("n"), F.sum("named").alias("named"))
-    repeated = stored(seen.where(F.col("within") | (F.col("first") < F.col("last")) | ((F.col("named") > 0) & (F.col("named") < F.col("n")))).select(*key, "first", "n"), "repeated")
-    keep = docs.sparkSession.sparkContext.broadcast(_bitmap(repeated))
+    doc, key = ["id", "print"], ["hash", "check"]
+    context = docs.sparkSession.sparkContext
+    repeated = stored(_count(source, hashes).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1"), "repeated")
     total = repeated.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(repeated.where(F.col("n") * HOT_SHARE > total).select(*key, F.lit(True).alias("hot")))  # fewer than HOT_SHARE rows
-    parts = F.when(F.col("n") * HOT_SHARE > total, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
-    spread = repeated.select(*key, "first", F.explode(parts).alias("part"))
-    part = F.when(F.col("hot"), F.pmod(F.xxhash64("print", "begin"), F.lit(HOT_PARTS)).cast("int")).otherwise(F.lit(0))
-    found = _places(source, kind, hashes, digest, keep).join(hot, key, "left").withColumn("part", part).join(spread, [*key, "part"])
-    later = F.col("again") | ~F.col("id").eqNullSafe(F.col("first"))
-    found = stored(found.select("id", "print", "begin", "end", *key, "part", "run", later.alias("later"), "bytes"), "occurrences")
-    # a slice has shown all bytes that it has under a key, so one value is all that there is anywhere
-    shown = found.where("bytes IS NOT NULL").groupBy(*key, "part").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
-    same = shown.groupBy(*key).agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low = high").select(*key)
-    same = same.join(hot, key, "left").withColumn("part", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
-    copies = found.where("NOT run AND later").join(same, [*key, "part"], "left_semi")
-    gone = copies.select("id", "print", "begin", "end").unionByName(found.where("run AND later").select("id", "print", "begin", "end"))
-    return gone.groupBy("id", "print").agg(F.collect_set(F.shiftleft(F.col("begin").cast("long"), 32).bitwiseOR(F.col("end").cast("long"))).alias("pieces"))
+    hot = repeated.where(F.col("n") * HOT_SHARE > total).select("hash").collect()  # fewer than HOT_SHARE rows
+    keep, hot = context.broadcast(_bitmap(repeated)), context.broadcast(np.array([r.hash for r in hot], np.int64))
+    places = stored(_places(source, kind, hashes, digest, keep, hot), "places")
+    once = places.where("NOT again")
+    place = [F.col(x) for x in (*doc, "begin", "end", "start", "stop")]
+    firsts = Window.partitionBy(*key).orderBy(F.col("id").asc_nulls_last(), "print", "start")
+    rare = once.where("NOT hot").select(*place, *(F.first(x).over(firsts).alias(f"first_{x}") for x in (*doc, "start")))
+    least = F.min(F.when(F.col("id").isNotNull(), F.struct(*doc, "start")))
+    often = once.where("hot").join(once.where("hot").groupBy(*key).agg(least.alias("least")), key).select(*place, *(F.col(f"least.{x}").alias(f"first_{x}") for x in (*doc, "start")))
+    later = rare.unionByName(often).where(~F.col("id").eqNullSafe(F.col("first_id"))).repartition("print").sortWithinPartitions("print")
+    span = F.xxhash64("first_id", "first_print", "first_start", "length")
+    passages = stored(_passages(later, kind).withColumn("span", span), "passages")
+    # a document sends what others have of it once, however many they are
+    theirs = passages.select(F.col("first_id").alias("id"), F.col("first_print").alias("print"), "span", F.col("first_start").alias("start"), "length").distinct()
+    cuts = passages.select(*doc, "span", "start", "length").unionByName(theirs).groupBy(*doc).agg(F.collect_set(F.struct("span", "start", "length")).alias("cuts"))
+    cut = _cut(source.join(cuts.withColumnsRenamed({"id": "of", "print": "of_print"}), (F.col("print") == F.col("of_print")) & F.col("id").eqNullSafe(F.col("of"))).select("text", "cuts"))
+    different = stored(cut.distinct().groupBy("span").count().where("count > 1").select("span"), "different")
+    same = passages if different.isEmpty() else passages.join(different, "span", "left_anti")
+    lines = F.shiftleft(F.col("begin").cast("long"), 32).bitwiseOR(F.col("end").cast("long"))
+    gone = same.select(*doc, "gone").unionByName(places.where("again").select(*doc, F.array(lines).alias("gone")))
+    return gone.groupBy(*doc).agg(F.flatten(F.collect_set("gone")).alias("pieces"))
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed: str = "n_removed", hashes: Hash = hashes, digest: Digest = blake) -> DataFrame:

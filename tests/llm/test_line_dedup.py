@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from symgraph.llm import line_dedup
 from symgraph.llm.bytescan import _mix, hashes, prefix_sums
 from symgraph.llm.line_dedup import remove_repeated
 
@@ -193,3 +194,35 @@ def test_a_text_that_repeats_itself_keeps_one_round(spark):
     part = sentences(rng, 7)
     rows = [(1, "\n".join(part * 9), "x")]
     assert remove_repeated(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect()[0].text == "\n".join(part)
+
+
+def made(seed, words=60):
+    rng = random.Random(seed)
+    some = sentences(rng, 30) + sentences(rng, 10, words)
+    return [(d, "\n".join(rng.choices(some, k=rng.randint(2, 14)) + sentences(rng, 2))) for d in range(60)] + [(None, "\n".join(some[:9]))]
+
+
+def test_runs_with_equal_keys_and_different_bytes_stay(spark):
+    rng = random.Random(11)
+    rows = [(d, "\n".join(sentences(rng, 9))) for d in range(6)]  # over 50 words, so there are runs
+    same_hash = lambda sums, starts, stops: starts.astype("u8") * 0 + 7
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id, r.text) for r in remove_repeated(docs, hashes=same_hash, digest=lambda data: b"12345678").collect()) == rows
+
+
+def test_equal_hashes_of_long_spans_lose_nothing(spark):
+    weak = lambda sums, starts, stops: np.where(stops - starts > 300, np.uint64(7), hashes(sums, starts, stops))
+    rows = made(12, 20)  # each line is shorter than that
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted(plain(rows), key=str)
+    assert sorted(((r.doc_id, r.text, r.n_removed) for r in remove_repeated(docs, hashes=weak).collect()), key=str) == want
+    most = {d: n for d, _, n in want}
+    assert all(r.n_removed <= most[r.doc_id] for r in remove_repeated(docs, hashes=weak, digest=lambda data: b"12345678").collect())
+
+
+def test_rare_and_hot_pieces_alike(spark, monkeypatch):
+    rows = made(13)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for share in (1, 60, 1 << 40):  # none, some, all
+        monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
+        assert sorted(((r.doc_id, r.text, r.n_removed) for r in remove_repeated(docs).collect()), key=str) == sorted(plain(rows), key=str)
