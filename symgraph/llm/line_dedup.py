@@ -68,6 +68,8 @@ _END_MASK = _U(1)
 BITMAP_BITS, BLOCK_WORDS = 25, 1 << 14
 #: A hash with more than this share of all pieces is hot, so there are no more than so many of them.
 HOT_SHARE = 4096
+#: Passages are compared in blocks that end at multiples of so many bytes of the text where they stand first.
+BLOCK_BYTES = 1024
 
 _STOP = byte_set((0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F))
 _BLANK = byte_set((0x09, 0x0D), (0x20, 0x20))
@@ -272,19 +274,32 @@ def _passages(later: DataFrame, kind: str) -> DataFrame:
     return later.mapInArrow(run, f"id {kind}, print long, start int, first_id {kind}, first_print long, first_start int, length int, gone array<long>")
 
 
+def _blocks(passages: DataFrame) -> DataFrame:
+    """(passage, id, print, start, first_id, first_print, first_start, length, span) of the blocks of passages. However many documents share a text, most of its blocks are the same."""
+    block = F.explode(F.sequence(F.expr(f"first_start div {BLOCK_BYTES}"), F.expr(f"(first_start + length - 1) div {BLOCK_BYTES}")))
+    found = passages.withColumn("block", block)
+    at = F.greatest("first_start", F.col("block") * BLOCK_BYTES).cast("int")
+    to = F.least(F.col("first_start") + F.col("length"), (F.col("block") + 1) * BLOCK_BYTES).cast("int")
+    own = ["passage", "id", "print"]
+    found = found.select(*own, (F.col("start") + at - F.col("first_start")).alias("start"), "first_id", "first_print", at.alias("first_start"), (to - at).alias("length"))
+    return found.withColumn("span", F.xxhash64("first_id", "first_print", "first_start", "length"))
+
+
 def _cut(texts: DataFrame) -> DataFrame:
     """(span, bytes) of texts (text, cuts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, cuts = Texts.of(batch.column(0)), batch.column(1)
-            data, found = own.data.tobytes(), cuts.flatten()
-            span, start, length = (x.to_numpy() for x in found.flatten())
-            row = np.repeat(np.arange(len(cuts)), cuts.value_lengths().to_numpy())
-            starts = own.offsets[row] + start
-            stops = np.minimum(starts + length, own.offsets[row + 1])
-            once = {(s, data[a:b]) for s, a, b in zip(span.tolist(), starts.tolist(), stops.tolist(), strict=True)}
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in once], pa.int64()), pa.array([x for _, x in once], pa.binary())], ["span", "bytes"])
+            for lo, hi in slices(batch.column(0)):
+                part = batch.slice(lo, hi - lo)
+                own, cuts = Texts.of(part.column(0)), part.column(1)
+                data, found = own.data.tobytes(), cuts.flatten()
+                span, start, length = (x.to_numpy() for x in found.flatten())
+                row = np.repeat(np.arange(len(cuts)), cuts.value_lengths().to_numpy())
+                starts = own.offsets[row] + start
+                stops = np.minimum(starts + length, own.offsets[row + 1])
+                once = {(s, data[a:b]) for s, a, b in zip(span.tolist(), starts.tolist(), stops.tolist(), strict=True)}
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in once], pa.int64()), pa.array([x for _, x in once], pa.binary())], ["span", "bytes"])
 
     return texts.mapInArrow(run, "span long, bytes binary")
 
@@ -331,14 +346,15 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = F.min(F.when(F.col("id").isNotNull(), F.struct(*doc, "start")))
     often = once.where("hot").join(once.where("hot").groupBy(*key).agg(least.alias("least")), key).select(*place, *(F.col(f"least.{x}").alias(f"first_{x}") for x in (*doc, "start")))
     later = rare.unionByName(often).where(~F.col("id").eqNullSafe(F.col("first_id"))).repartition("print").sortWithinPartitions("print")
-    span = F.xxhash64("first_id", "first_print", "first_start", "length")
-    passages = stored(_passages(later, kind).withColumn("span", span), "passages")
+    passage = F.xxhash64(*doc, "start", "first_id", "first_print", "first_start", "length")
+    passages = stored(_passages(later, kind).withColumn("passage", passage), "passages")
+    blocks = _blocks(passages)
     # a document sends what others have of it once, however many they are
-    theirs = passages.select(F.col("first_id").alias("id"), F.col("first_print").alias("print"), "span", F.col("first_start").alias("start"), "length").distinct()
-    cuts = passages.select(*doc, "span", "start", "length").unionByName(theirs).groupBy(*doc).agg(F.collect_set(F.struct("span", "start", "length")).alias("cuts"))
+    theirs = blocks.select(F.col("first_id").alias("id"), F.col("first_print").alias("print"), "span", F.col("first_start").alias("start"), "length").distinct()
+    cuts = blocks.select(*doc, "span", "start", "length").unionByName(theirs).groupBy(*doc).agg(F.collect_set(F.struct("span", "start", "length")).alias("cuts"))
     cut = _cut(source.join(cuts.withColumnsRenamed({"id": "of", "print": "of_print"}), (F.col("print") == F.col("of_print")) & F.col("id").eqNullSafe(F.col("of"))).select("text", "cuts"))
     different = stored(cut.distinct().groupBy("span").count().where("count > 1").select("span"), "different")
-    same = passages if different.isEmpty() else passages.join(different, "span", "left_anti")
+    same = passages if different.isEmpty() else passages.join(blocks.join(different, "span", "left_semi").select("passage"), "passage", "left_anti")
     lines = F.shiftleft(F.col("begin").cast("long"), 32).bitwiseOR(F.col("end").cast("long"))
     gone = same.select(*doc, "gone").unionByName(places.where("again").select(*doc, F.array(lines).alias("gone")))
     return gone.groupBy(*doc).agg(F.flatten(F.collect_set("gone")).alias("pieces"))

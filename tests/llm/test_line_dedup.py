@@ -226,3 +226,24 @@ def test_rare_and_hot_pieces_alike(spark, monkeypatch):
     for share in (1, 60, 1 << 40):  # none, some, all
         monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
         assert sorted(((r.doc_id, r.text, r.n_removed) for r in remove_repeated(docs).collect()), key=str) == sorted(plain(rows), key=str)
+
+
+def test_blocks_cover_passages_and_are_few(spark):
+    rng = random.Random(14)
+    rows = [(k, k, 2 * k, 7 * k, 0, 9, a, b - a) for k in range(400) for a, b in [sorted(rng.sample(range(0, 8000, 80), 2))]]
+    passages = spark.createDataFrame(rows, "passage long, id long, print long, start int, first_id long, first_print long, first_start int, length int")
+    blocks = line_dedup._blocks(passages).collect()
+    for k, _, _, start, _, _, first, length in rows:
+        own = sorted((b.start, b.first_start, b.length) for b in blocks if b.passage == k)
+        assert own[0][:2] == (start, first) and sum(n for *_, n in own) == length
+        assert all((a[0] + a[2], a[1] + a[2]) == b[:2] for a, b in zip(own, own[1:], strict=False))
+    sent = {b.span: b.length for b in blocks}
+    assert sum(sent.values()) < 30 * 8000 < sum(r[-1] for r in rows) / 3  # each edge at most once, not each passage
+
+
+def test_near_copies_of_a_long_text(spark):
+    rng = random.Random(15)
+    text = sentences(rng, 60)
+    rows = [(d, "\n".join([*sentences(rng, 1), *text[rng.randrange(20) : rng.randrange(30, 60)], *sentences(rng, 1)])) for d in range(50)] + [(50, "\n".join(text))]
+    got = remove_repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == sorted(plain(rows))
