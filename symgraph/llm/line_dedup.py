@@ -81,7 +81,8 @@ def _lines(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and stops of the lines, and where each text's begin."""
     data = texts.data
     separator = data == 10
-    separator[1:] |= (data[1:] == 32) & _STOP[data[:-1]]
+    before = np.flatnonzero(data[1:] == 32)
+    separator[before[_STOP[data[before]]] + 1] = True
     return texts.runs(~separator)
 
 
@@ -109,15 +110,15 @@ class _Chunks:
             self.words, self.at = np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
             self.piece_first = self.piece_last = np.zeros(0, np.int64)
             return
-        word = ~_BLANK[data]
-        word[1:] &= _BLANK[data[:-1]]
-        counts = np.concatenate([[0], np.cumsum(word)])
+        blank = _BLANK[data]
+        word = ~blank
+        word[1:] &= blank[:-1]
+        inside = lambda at: np.searchsorted(at, last) - np.searchsorted(at, first)
         # a line that starts in the middle of a run of blanks or of text counts its first word too
-        words = counts[last] - counts[first] + (~word[first] & ~_BLANK[data[first]])
+        words = inside(np.flatnonzero(word)) + (~word[first] & ~blank[first])
         unspaced = _UNSPACED[data]
         if unspaced.any():
-            counts = np.concatenate([[0], np.cumsum(unspaced)])
-            words = words + (counts[last] - counts[first]) // 2
+            words = words + inside(np.flatnonzero(unspaced)) // 2
         h = hashes(self.sums, first, last)
         begins = np.zeros(n, bool)
         begins[at[:-1][np.diff(at) > 0]] = True
@@ -190,12 +191,19 @@ class _Places:
         self.check = found.checks(data, digest, first, last)
         starts, stops = found.line_starts[first], found.line_stops[last]
         self.start, self.stop = starts - texts.offsets[self.row], stops - texts.offsets[self.row]
-        order = np.lexsort((piece, self.check, self.hash, self.row))
+        # just those whose hash, mixed with the row, is there twice can stand again
+        mixed = _mix(self.hash + self.row.astype(_U) * _U(0x9E3779B97F4A7C15))
+        order = np.argsort(mixed)
+        twin = np.zeros(len(order), bool)
+        twin[1:] = mixed[order[1:]] == mixed[order[:-1]]
+        twin[:-1] |= twin[1:].copy()
+        order = order[twin]
+        order = order[np.lexsort((piece[order], self.check[order], self.hash[order], self.row[order]))]
         again = np.ones(len(order), bool)
         again[:1] = False
         for x in (self.row, self.hash, self.check):
             again[1:] &= x[order[1:]] == x[order[:-1]]
-        self.again = np.zeros(len(order), bool)
+        self.again = np.zeros(len(piece), bool)
         for at in np.flatnonzero(again).tolist():
             k, before = order[at], order[at - 1]
             self.again[k] = data[starts[k] : stops[k]] == data[starts[before] : stops[before]]
