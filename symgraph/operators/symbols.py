@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from symgraph.functions.scalars import arity, arity_by_commas, cpp_arity, package_of, scope_of, simple_name, unresolved_usr
 from symgraph.operators.ingest import union_all
+from symgraph.storage import stored
 
 
 def register(existing: DataFrame | None, new: DataFrame, seq: str = "seq") -> DataFrame:
@@ -101,12 +102,15 @@ def resolve_methods(calls: DataFrame, symbols: DataFrame, compat: bool = False)
     ``compat`` lets a name match any member whose qualified name has it after a
     dot, and gives empty signatures no count.
     """
-    # of methods that no question tells apart only the first can be an answer, and equal questions are asked once
+    # equal questions are asked once; they are stored, so that the size they have decides how the methods they ask for are found
+    question = ["class_fqn", "name", "arguments"]
+    asked = stored(calls.select(*question).distinct(), "asked")
+    # of methods that no question tells apart only the first can be an answer
     member, count = (F.lower("fqn"), arity_by_commas("signature")) if compat else (F.col("simple_name"), F.col("arity"))
     told = ["parent_fqn", "member", "count"]
-    methods = with_keys(symbols).withColumns({"member": member, "count": count}).groupBy(*told).agg(F.min(F.struct("fqn", "usr")).alias("first")).select(*told, "first.*")
-    question = ["class_fqn", "name", "arguments"]
-    asked = calls.select(*question).distinct()
+    here = asked.select(F.col("class_fqn").alias("parent_fqn"), *([] if compat else [F.col("name").alias("member")]))
+    members = with_keys(symbols).withColumns({"member": member, "count": count}).join(here, here.columns, "left_semi")
+    methods = members.groupBy(*told).agg(F.min(F.struct("fqn", "usr")).alias("first")).select(*told, "first.*")
     named = F.contains("member", F.lower(F.concat(F.lit("."), "name"))) if compat else F.col("member") == F.col("name")
     pairs = asked.join(methods, (F.col("class_fqn") == F.col("parent_fqn")) & named)
     ranked = pairs.withColumn("prio", F.when(F.coalesce(F.col("count") == F.col("arguments"), F.lit(False)), 1).otherwise(2))

@@ -83,6 +83,36 @@ def test_many_calls_with_unknown_arguments_are_not_paired_with_all_methods(spark
     assert list(many(spark, "NULL")) == [{(None, "u0", 2000)}] * 2
 
 
+def most_of(df, operator, metric):
+    """The highest value of a metric of such operators in the executed plan of a DataFrame."""
+    plan, most = df._jdf.queryExecution(), 0
+    plan.toRdd().count()
+    nodes = [plan.executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            nodes.append(node.executedPlan())
+        elif "QueryStage" in name:
+            nodes.append(node.plan())
+        children = node.children()
+        nodes += [children.apply(k) for k in range(children.size())]
+        if operator in name and node.metrics().contains(metric):
+            most = max(most, node.metrics().apply(metric).value())
+    return most
+
+
+def test_methods_of_classes_that_no_call_names_are_not_dealt(spark):
+    n = 5000
+    calls = spark.createDataFrame([(1, "p.A", "get", 0), (2, "p.A", "get", None)], "call_id int, class_fqn string, name string, arguments int")
+    others = spark.range(n).selectExpr("concat('o.C', id, '.get()') AS fqn", "concat('o', id) AS usr", "'method' AS kind", "'f' AS file", "1 AS line", "'java' AS language", "'' AS signature", "concat('o.C', id) AS parent_fqn")
+    for compat in (False, True):
+        found = symbols.resolve_methods(calls, table(spark).unionByName(others), compat=compat)
+        assert {r.call_id: r.usr for r in found.collect()} == {1: "g0", 2: "g0"}
+        assert most_of(found, "Aggregate", "numOutputRows") < 100
+        assert most_of(found, "Exchange", "shuffleRecordsWritten") < 100
+
+
 def test_one_call_id_with_several_questions_has_one_answer(spark):
     calls = spark.createDataFrame([(1, "p.A", "get", 7), (1, "p.A", "get", 1), (2, "p.A", "get", None), (None, "p.A", "get", 0), (None, "q.B", "run", 0)], "call_id int, class_fqn string, name string, arguments int")
     got = {r.call_id: (r.usr, r.fqn) for r in symbols.resolve_methods(calls, table(spark)).collect()}
