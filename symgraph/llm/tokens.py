@@ -24,7 +24,7 @@ from symgraph.llm.bytescan import Texts, byte_set, hashes, prefix_sums, ragged,
 _U = np.uint64
 
 #: Slots of a task's pre-token table, and ids kept before it starts anew; they bound its memory.
-_SLOT_BITS, _MOST_IDS = 20, 1 << 22
+_SLOT_BITS, _MOST_IDS = 21, 1 << 23
 
 _LETTER, _NUMBER, _SPACE, _SIGN, _ODD = 1, 2, 3, 4, 5
 _CLASS = np.full(256, _SIGN, np.uint8)
@@ -102,21 +102,23 @@ class _Encoder:
             before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not config.get("normalizer")
             and model.get("type") == "BPE" and not model.get("dropout") and self._ids("\n") == self._ids("a\nb")[1:-1] and len(self._ids("\n")) == 1
         )
+        # ids of two bytes where the vocabulary allows it
+        self.kind = "<u2" if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else "<u4"
         self._start_anew()
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids  # the same ids, without offsets
 
     def _start_anew(self) -> None:
         self.keys = np.zeros(1 << _SLOT_BITS, _U)
-        self.place = np.zeros(1 << _SLOT_BITS, np.int64)
-        self.count = np.zeros(1 << _SLOT_BITS, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.place = np.zeros(1 << _SLOT_BITS, np.int32)
+        self.count = np.zeros(1 << _SLOT_BITS, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, self.kind), 0
 
     def _keep(self, ids: np.ndarray) -> int:
         at = self.used
         if at + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), "<u4")])
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), self.kind)])
         self.pool[at : at + len(ids)] = ids
         self.used += len(ids)
         return at
@@ -124,40 +126,49 @@ class _Encoder:
     def _encode_new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each of some pre-tokens are kept, and how many they are."""
         blank = np.array([not w.strip() for w in words])
-        place, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        place, count = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32)
         for i in np.flatnonzero(blank).tolist():
-            ids = np.array(self._ids(words[i].decode()), "<u4")
+            ids = np.array(self._ids(words[i].decode()), self.kind)
             place[i], count[i] = self._keep(ids), len(ids)
         # a line for each; no pre-token but white space holds the newline's id
         rest = np.flatnonzero(~blank)
         if len(rest):
-            ids = np.array(self._ids("".join(words[i].decode() + "\n" for i in rest.tolist()) + "."), "<u4")
+            ids = np.array(self._ids(b"\n".join([words[i] for i in rest.tolist()] + [b"."]).decode()), self.kind)
             ends = np.flatnonzero(ids == self._ids("\n")[0])
             begins = np.concatenate([[0], ends[:-1] + 1])
             place[rest], count[rest] = self._keep(ids) + begins, ends - begins
         return place, count
 
-    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in turn, and where each text's begin (n + 1 entries). For texts whose characters are all known."""
-        starts, at, _ = pretokens(texts)
+    def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two slots where each hash may be."""
+        return (h >> _U(64 - _SLOT_BITS)).astype(np.int64), (h & _U((1 << _SLOT_BITS) - 1)).astype(np.int64)
+
+    def encode(self, texts: Texts, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and where each text's begin (n + 1 entries), by their pre-tokens. For texts whose characters are all known."""
         if not len(starts):
             return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
         if self.used > _MOST_IDS:
             self._start_anew()
         stops = np.append(starts[1:], len(texts.data))
         h = hashes(prefix_sums(texts.data), starts, stops)
-        slot = (h >> _U(64 - _SLOT_BITS)).astype(np.int64)
+        slot, _ = self._slots(h)
         place, count = self.place[slot], self.count[slot]
         missed = np.flatnonzero((self.keys[slot] != h) | (count == 0))
+        _, slot = self._slots(h[missed])
+        other = (self.keys[slot] == h[missed]) & (self.count[slot] > 0)
+        place[missed[other]], count[missed[other]] = self.place[slot[other]], self.count[slot[other]]
+        missed = missed[~other]
         if len(missed):
             own, one, back = np.unique(h[missed], return_index=True, return_inverse=True)
             data, rows = texts.data.tobytes(), missed[one]
             new_place, new_count = self._encode_new([data[a:b] for a, b in zip(starts[rows].tolist(), stops[rows].tolist(), strict=True)])
             place[missed], count[missed] = new_place[back], new_count[back]
-            into = (own >> _U(64 - _SLOT_BITS)).astype(np.int64)
+            into, slot = self._slots(own)
+            into = np.where(self.count[into] == 0, into, slot)
             into, last = np.unique(into, return_index=True)
             self.keys[into], self.place[into], self.count[into] = own[last], new_place[last], new_count[last]
-        ids = self.pool[ragged(place, count)]
+        count = count.astype(np.int64)
+        ids = self.pool[ragged(place, count)].astype("<u4")
         return ids, np.concatenate([[0], np.cumsum(count)])[at]
 
 
@@ -172,7 +183,7 @@ def token_ids(texts: pa.Array, path: str, end: int) -> Iterator[np.ndarray]:
     last = np.array([end], "<u4")
     for lo, hi in slices(texts, 1 << 19):
         own = Texts.of(texts.slice(lo, hi - lo))
-        _, _, unknown = pretokens(own)
+        starts, first, unknown = pretokens(own)
         if not encoder.known:
             unknown[:] = True
         if unknown.any():
@@ -182,8 +193,9 @@ def token_ids(texts: pa.Array, path: str, end: int) -> Iterator[np.ndarray]:
             lengths = np.where(unknown, 0, np.diff(own.offsets))
             stays = np.repeat(~unknown, np.diff(own.offsets))
             own = Texts(own.data[stays], np.concatenate([[0], np.cumsum(lengths)]))
+            starts, first, _ = pretokens(own)
         else:
             whole = {}
-        ids, at = encoder.encode(own)
+        ids, at = encoder.encode(own, starts, first)
         for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
             yield np.concatenate([whole[i] if i in whole else ids[a:b], last])

@@ -33,6 +33,22 @@ def test_a_full_table_starts_anew(monkeypatch):
     tokens._encoder.cache_clear()
 
 
+def test_few_words_are_encoded_or_split_again(monkeypatch):
+    tokens._encoder.cache_clear()
+    monkeypatch.setattr(tokens, "_SLOT_BITS", 10)
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]  # with 1,024 slots to share
+    path, encoded, split = public_tokenizer(), [], []
+    for word in words:
+        list(token_ids(pa.array([word]), path, 0))
+    encode, pretokens = tokens._Encoder._encode_new, tokens.pretokens
+    monkeypatch.setattr(tokens._Encoder, "_encode_new", lambda self, new: encoded.extend(new) or encode(self, new))
+    monkeypatch.setattr(tokens, "pretokens", lambda texts: split.append(texts) or pretokens(texts))
+    library = Tokenizer.from_file(path)
+    assert [x.tolist() for x in token_ids(pa.array(words), path, 0)] == [[*library.encode(w).ids, 0] for w in words]
+    assert len(encoded) < 20 and len(split) == 1
+    tokens._encoder.cache_clear()
+
+
 def thue_morse(letters):
     """Two words of 1,024 letters that every polynomial modulo 2**64 takes for one."""
     bits = [bin(k).count("1") % 2 for k in range(1024)]
