@@ -41,6 +41,9 @@ _PRIME = (1 << 31) - 1
 _SMALL_BASE = 1_367_130_551
 _SMALL_INVERSE = pow(_SMALL_BASE, -1, _PRIME)
 
+#: Bytes whose sums are made at a time.
+_BLOCK = 1 << 15
+
 _cached: list[np.ndarray] = []
 
 
@@ -126,21 +129,22 @@ class Texts:
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Two rows of sums, one for each polynomial."""
+    """Two rows of sums, one for each polynomial; in blocks, so that what is between stays in the processor's cache."""
     powers, _, small, _ = _tables(len(data) + 1)
-    sums = np.zeros((2, len(data) + 1), dtype=_U64)
-    own = _BYTE[data]
-    own *= powers[: len(data)]
-    np.cumsum(own, out=sums[0, 1:])
-    for at in range(0, len(data), 1 << 23):  # 2**40 at most each, so the sums of a part fit
-        part = slice(at, at + (1 << 23))
-        own = data[part].astype(_U64)
-        own += _U64(1)
-        own *= small[: len(data)][part]
-        out = sums[1, 1:][part]
-        np.cumsum(own, out=out)
-        if at:
-            out += sums[1, at] % _U64(_PRIME)
+    sums = np.empty((2, len(data) + 1), dtype=_U64)
+    sums[:, 0] = 0
+    for at in range(0, len(data), _BLOCK):
+        to = min(at + _BLOCK, len(data))
+        byte = data[at:to].astype(np.intp)
+        own = _BYTE[byte]
+        own *= powers[at:to]
+        own[:1] += sums[0, at : at + 1]
+        np.cumsum(own, out=sums[0, at + 1 : to + 1])
+        byte += 1  # 2**39 at most each, with the power
+        own = byte.view(_U64)
+        own *= small[at:to]
+        own[:1] += sums[1, at : at + 1] % _U64(_PRIME)
+        np.cumsum(own, out=sums[1, at + 1 : to + 1])
     return sums
 
 

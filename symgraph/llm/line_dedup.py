@@ -72,7 +72,6 @@ HOT_SHARE = 4096
 BLOCK_BYTES = 1024
 
 _STOP = byte_set((0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F))
-_BLANK = byte_set((0x09, 0x0D), (0x20, 0x20))
 #: First bytes of characters in scripts without blanks.
 _UNSPACED = byte_set((0xE3, 0xED))
 
@@ -110,14 +109,13 @@ class _Chunks:
             self.words, self.at = np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
             self.piece_first = self.piece_last = np.zeros(0, np.int64)
             return
-        blank = _BLANK[data]
+        blank = (data - np.uint8(9) < 5) | (data == 32)  # 9 to 13: what is below 9 comes out above
         word = ~blank
         word[1:] &= blank[:-1]
         inside = lambda at: np.searchsorted(at, last) - np.searchsorted(at, first)
         # a line that starts in the middle of a run of blanks or of text counts its first word too
         words = inside(np.flatnonzero(word)) + (~word[first] & ~blank[first])
-        unspaced = _UNSPACED[data]
-        if unspaced.any():
+        if data.max() >= 0xE3 and (unspaced := _UNSPACED[data]).any():
             words = words + inside(np.flatnonzero(unspaced)) // 2
         h = hashes(self.sums, first, last)
         begins = np.zeros(n, bool)
@@ -346,10 +344,11 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = repeated.agg(F.sum("n")).first()[0] or 0
     hot = repeated.where(F.col("n") * HOT_SHARE > total).select("hash").collect()  # fewer than HOT_SHARE rows
     keep, hot = context.broadcast(_bitmap(repeated)), context.broadcast(np.array([r.hash for r in hot], np.int64))
-    places = stored(_places(source, kind, hashes, digest, keep, hot), "places")
+    # keys are as good as random, so a dictionary of them is begun in vain
+    places = stored(_places(source, kind, hashes, digest, keep, hot), "places", **{f"parquet.enable.dictionary#{x}": "false" for x in key})
     once = places.where("NOT again")
     place = [F.col(x) for x in (*doc, "begin", "end", "start", "stop")]
-    firsts = Window.partitionBy(*key).orderBy(F.col("id").asc_nulls_last(), "print", "start")
+    firsts = Window.partitionBy(*key).orderBy(F.col("id").asc_nulls_last(), "print", "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rare = once.where("NOT hot").select(*place, *(F.first(x).over(firsts).alias(f"first_{x}") for x in (*doc, "start")))
     least = F.min(F.when(F.col("id").isNotNull(), F.struct(*doc, "start")))
     often = once.where("hot").join(once.where("hot").groupBy(*key).agg(least.alias("least")), key).select(*place, *(F.col(f"least.{x}").alias(f"first_{x}") for x in (*doc, "start")))

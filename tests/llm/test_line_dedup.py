@@ -247,3 +247,19 @@ def test_near_copies_of_a_long_text(spark):
     rows = [(d, "\n".join([*sentences(rng, 1), *text[rng.randrange(20) : rng.randrange(30, 60)], *sentences(rng, 1)])) for d in range(50)] + [(50, "\n".join(text))]
     got = remove_repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == sorted(plain(rows))
+
+
+def test_sums_are_made_in_blocks():
+    import tracemalloc
+
+    from symgraph.llm.bytescan import _tables, prefix_sums
+
+    data = np.resize(np.arange(256, dtype=np.uint8), 1 << 22)
+    _tables(len(data) + 1)
+    tracemalloc.start()
+    sums = prefix_sums(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sums.nbytes + (1 << 21)  # nothing else as long as the text
+    few = prefix_sums(data[:70000])
+    assert (sums[0, : few.shape[1]] == few[0]).all() and ((sums[1, : few.shape[1]] - few[1]) % ((1 << 31) - 1) == 0).all()
